@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op1_weighted_fingerprints": "weighted_fingerprints",
+    "op8_simhash_groups": "simhash_groups",
 }
 
 
