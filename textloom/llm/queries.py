@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op1_weighted_fingerprints": "weighted_fingerprints",
     "op8_simhash_groups": "simhash_groups",
+    "op7_rule_forest": "rule_forest",
+    "op5_pu_quality": "pu_quality",
 }
 
 

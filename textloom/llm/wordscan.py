@@ -75,14 +75,18 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, U)
-        up, down = powers(_BASE | 1, n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
-        own = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(own + (self.end - self.start).astype(U) * U(_STEP))
+        return span_hashes(self.data, self.start, self.end)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between places."""
+    n = len(data)
+    if not len(start):
+        return np.zeros(0, U)
+    up, down = powers(_BASE | 1, n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(_STEP))
 
 
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
