@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one task is meant to hold.
 TASK_BYTES = 8 << 20
@@ -58,3 +59,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def to_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def with_columns(schema: StructType, made: list[tuple[str, str]]) -> StructType:
+    """The schema with (name, type) columns behind it; the given one stays as it is."""
+    out = StructType(list(schema.fields))
+    for name, kind in made:
+        out = out.add(name, kind)
+    return out
