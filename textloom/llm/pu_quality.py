@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model | None, accept: float = ACCEPT) -> DataF
                 s = model.score(x.astype(np.float64)) if model else np.full(len(x), 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= accept).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, tables.with_columns(docs.schema, [("score", "double"), ("predicted", "int")]))
+    return docs.mapInArrow(run, tables.with_columns(docs.schema, [("score", "double"), ("predicted", "integer")]))
 
 
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
