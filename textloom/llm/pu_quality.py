@@ -24,7 +24,7 @@ from . import tables
 from .wordscan import buffers, runs, scan
 
 #: Rows of each training sample at most: labelled rows, and unlabelled rows.
-SAMPLE = 8_000
+SAMPLE = 4_000
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
 EPOCHS, RATE, DECAY, BATCH, SEED = 40, 0.02, 1e-4, 512, 5
 _MARKS = b".,;:!?'\"-()[]{}/\\|#*$%&<>@=_+~^`"
@@ -84,8 +84,9 @@ class Model:
 
 def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Non-negative unbiased risk, by Adam over paired batches. Constant features keep weight zero."""
-    both = np.concatenate([pos, unl]).astype(np.float64)
-    mean, sd = both.mean(axis=0), both.std(axis=0)
+    pos, unl = (x.astype(np.float32, copy=False) for x in (pos, unl))
+    both = np.concatenate([pos, unl])
+    mean, sd = both.mean(axis=0, dtype=np.float64), both.std(axis=0, dtype=np.float64)
     unit = np.where(sd > 1e-4, 1 / np.maximum(sd, 1e-4), 0.0)
     live = np.flatnonzero(unit)
     p, u = (np.clip((x[:, live] - mean[live]) * unit[live], -8, 8) for x in (pos, unl))
@@ -154,10 +155,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     own = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     marked = own.orderBy(*order).limit(sample)
     free = rows.select("doc_id").orderBy(*order).limit(sample).distinct().withColumn("quality", F.lit(-1))
-    chosen = tables.keep(rows.join(marked.unionByName(free), "doc_id")).orderBy(*order, "quality", "text")
+    # at most twice the sample, two numbers a row
+    chosen = rows.join(F.broadcast(marked.unionByName(free)), "doc_id").orderBy(*order, "quality", "text")
     got = chosen.select("quality", "text").mapInArrow(_vectors, "quality int, x binary").collect()
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), WIDTH).astype(np.float64)
+    x = np.empty((len(got), WIDTH), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r["x"], np.float32)
     y = np.array([r["quality"] for r in got])
+    del got
     pos, unl, known = x[y == 1], x[y == -1], y >= 0
     if not len(pos) or not len(unl):
         return None
