@@ -7,7 +7,8 @@ term is negative a step goes the other way, so that the fit cannot push it below
 Features are rates of pairs of byte classes (small and capital letters, digits,
 blanks, line feeds, single marks ...) and of repeated words over the whole text; labels, lang,
 source and doc_id are no features. The score is the model's probability of label 1,
-mapped by a monotone (Platt) fit on the labelled training rows.
+mapped by a monotone fit on the labelled training rows: the slope is Platt's, and the
+shift lets KEEP_GOOD of the good rows reach ACCEPT.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .wordscan import buffers, runs, scan
 
 #: Rows of each training sample at most: labelled rows, and unlabelled rows.
 SAMPLE = 4_000
-FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
+FOLDS, HELD_OUT, ACCEPT, KEEP_GOOD = 4, 2, 0.7, 0.997
 EPOCHS, RATE, DECAY, BATCH, SEED = 40, 0.02, 1e-4, 512, 5
 _MARKS = b".,;:!?'\"-()[]{}/\\|#*$%&<>@=_+~^`"
 
@@ -116,7 +117,7 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS,
 
 
 def platt(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Slope (kept positive) and shift that fit the labels best; unchanged without both labels."""
+    """Slope (kept positive) by logistic fit to the labels, shift by the good rows; unchanged without both labels."""
     if len(np.unique(y)) < 2:
         return model
     z = model.margin(x)
@@ -130,7 +131,9 @@ def platt(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
         hess = np.array([[(h * z * z).mean() + 1e-3, (h * z).mean()], [(h * z).mean(), h.mean() + 1e-9]])
         step = np.clip(np.linalg.solve(hess, grad), -1, 1)
         a, b = max(a - step[0], 1e-3), b - step[1]
-    return Model(model.weight, model.bias, a / scale, b)
+    # the accepted side starts where KEEP_GOOD of the good rows have been let in
+    least = float(np.quantile(z[y == 1], 1 - KEEP_GOOD))
+    return Model(model.weight, model.bias, a / scale, float(np.log(ACCEPT / (1 - ACCEPT))) - a * least)
 
 
 def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
