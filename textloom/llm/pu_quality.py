@@ -26,7 +26,7 @@ from .wordscan import buffers, runs, scan
 
 #: Rows of each training sample at most: labelled rows, and unlabelled rows.
 SAMPLE = 4_000
-FOLDS, HELD_OUT, ACCEPT, KEEP_GOOD = 4, 2, 0.7, 0.997
+FOLDS, HELD_OUT, ACCEPT, KEEP_GOOD = 4, 2, 0.7, 0.995
 EPOCHS, RATE, DECAY, BATCH, SEED = 40, 0.02, 1e-4, 512, 5
 _MARKS = b".,;:!?'\"-()[]{}/\\|#*$%&<>@=_+~^`"
 

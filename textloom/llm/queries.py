@@ -12,6 +12,7 @@ _MODULES = {
     "op8_simhash_groups": "simhash_groups",
     "op7_rule_forest": "rule_forest",
     "op5_pu_quality": "pu_quality",
+    "op6_repeat_automata": "repeat_automata",
 }
 
 
