@@ -8,7 +8,7 @@
 2. Each shard gets its whole documents and its recurring windows. Their first places,
    joined to runs, are the recurring passages, cut into tiles of TILE words; every
    window of a passage holds a whole tile. The shard's tiles are compiled into an
-   Aho-Corasick automaton over word numbers, all documents of the shard are streamed
+   Aho-Corasick automaton over word numbers (three letters a word), all documents of the shard are streamed
    through it, and each hit is extended in both directions as far as document and
    passage agree. An extended hit of a window or more is an occurrence.
 
@@ -31,8 +31,10 @@ from . import packed, tables
 from .wordscan import U, buffers, grams, powers, runs, scan
 
 WINDOW = 35
-#: Windows hashed at a time.
-FLUSH = 1 << 21
+#: Windows hashed at a time, and bytes of text in a shard.
+FLUSH, SHARD_BYTES = 1 << 20, 4 << 20
+#: Letters that stand for a word's number in an automaton; more words in a shard share letters, and the extension tells them apart.
+BASE, DIGITS = 128, 3
 _STEP = 0xD6E8FEB86659FD93 | 1
 
 
@@ -146,25 +148,22 @@ def covered(word_hash: np.ndarray, first: np.ndarray, window_hash: np.ndarray, a
     per = (stop - begin - tile) // tile + 1
     passage = np.repeat(np.arange(len(begin)), per)
     tile_at = begin[passage] + tile * (np.arange(len(passage)) - np.repeat(np.cumsum(per) - per, per))
-    names, number = np.unique(word_hash, return_inverse=True)
-    number = number % 0x10E000 + 1
-    symbols = np.where(number >= 0xD800, number + 0x800, number).astype("<u4")
+    _, number = np.unique(word_hash, return_inverse=True)
     doc_of = np.searchsorted(first[1:], np.arange(count), "right")
-    text = np.insert(symbols, first[1:-1], 0)
-    stream = text.tobytes().decode("utf-32-le")
+    # a word is DIGITS letters, each place with letters of its own, as an automaton's state is slow with many ways on
+    letters = np.stack([(number // BASE**k) % BASE + k * BASE + 1 for k in range(DIGITS)], axis=1).astype("<u4").ravel()
+    stream = np.insert(letters, first[1:-1] * DIGITS, 0).tobytes().decode("utf-32-le")
+    spot = np.arange(count) * DIGITS + doc_of  # a zero stands before each document but the first
     known: dict[str, int] = {}
     member = np.empty(len(tile_at), np.int64)
-    shift = doc_of  # a zero stands before each document but the first
-    for k, p in enumerate(tile_at.tolist()):
-        q = p + int(shift[p])
-        member[k] = known.setdefault(stream[q : q + tile], len(known))
+    for k, q in enumerate(spot[tile_at].tolist()):
+        member[k] = known.setdefault(stream[q : q + tile * DIGITS], len(known))
     machine = ahocorasick.Automaton()
     for s, k in known.items():
         machine.add_word(s, k)
     machine.make_automaton()
     by_tile = np.argsort(member, kind="stable")
     low = np.searchsorted(member[by_tile], np.arange(len(known) + 1))
-    back = np.concatenate([np.arange(count) + shift, [-1]])  # places in the stream, ascending
     up, down = powers(_STEP, count + 1)
     total = np.zeros(count + 1, U)
     np.cumsum(word_hash * up[:count], out=total[1:])
@@ -185,7 +184,7 @@ def covered(word_hash: np.ndarray, first: np.ndarray, window_hash: np.ndarray, a
 
     def extend(ends: list[int], tiles: list[int]) -> None:
         t = np.array(tiles)
-        q = np.searchsorted(back[:-1], np.array(ends) - tile + 1)
+        q = np.searchsorted(spot, np.array(ends) - tile * DIGITS + 1)
         many = low[t + 1] - low[t]
         q = np.repeat(q, many)
         k = by_tile[np.repeat(low[t], many) + np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)]
@@ -263,7 +262,7 @@ def _cut(n: int, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = WINDOW, task_bytes: int = tables.TASK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = WINDOW, task_bytes: int = SHARD_BYTES) -> DataFrame:
     """All columns of docs, text without the words of recurring windows, n_words before and n_removed behind them.
 
     What stays keeps its own white space. A null text becomes empty; documents of fewer

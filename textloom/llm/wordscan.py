@@ -120,7 +120,7 @@ def scan(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
     return Words(data, bounds, start, end, doc, first)
 
 
-def runs(bounds: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def runs(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of documents with about so many bytes; a longer document is a run of its own."""
     i, n = 0, len(bounds) - 1
     while i < n:
