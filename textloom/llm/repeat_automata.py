@@ -32,7 +32,7 @@ from .wordscan import U, buffers, grams, powers, runs, scan
 
 WINDOW = 35
 #: Windows hashed at a time, and bytes of text in a shard.
-FLUSH, SHARD_BYTES = 1 << 20, 4 << 20
+FLUSH, SHARD_BYTES = 1 << 19, 3 << 20
 #: Letters that stand for a word's number in an automaton; more words in a shard share letters, and the extension tells them apart.
 BASE, DIGITS = 128, 3
 _STEP = 0xD6E8FEB86659FD93 | 1

@@ -6,6 +6,7 @@ can be found on UTF-8 bytes. All hashes are 64 bits and depend on content only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,6 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+def _return_memory() -> None:
+    """Arrays of over 1 MB go back to the system when freed, so that idle workers stay small."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of glibc
+    except (OSError, AttributeError):
+        pass  # another C library: its own rules hold
+
+
+_return_memory()
 U = np.uint64
 _MASK = (1 << 64) - 1
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -120,7 +130,7 @@ def scan(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
     return Words(data, bounds, start, end, doc, first)
 
 
-def runs(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def runs(bounds: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of documents with about so many bytes; a longer document is a run of its own."""
     i, n = 0, len(bounds) - 1
     while i < n:
