@@ -13,6 +13,8 @@ _MODULES = {
     "op7_rule_forest": "rule_forest",
     "op5_pu_quality": "pu_quality",
     "op6_repeat_automata": "repeat_automata",
+    "op3_token_files": "token_files",
+    "op9_curve_packing": "curve_packing",
 }
 
 

@@ -40,12 +40,16 @@ def deal(df: DataFrame, n: int, column: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """A written copy in the shared folder of spark.checkpoint.dir; cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
-    path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession) -> str:
+    """Where tables and files are kept: a folder that the driver and all executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)).rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """For sessions without a shared folder, as in local tests."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
