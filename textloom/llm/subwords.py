@@ -12,7 +12,7 @@ sides, so that the ids of the stretches, put together, are those of the whole te
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +22,8 @@ from .wordscan import IS_SPACE, U, buffers, runs, scan, span_hashes
 
 #: Distinct stretches that a worker remembers, and bytes of text looked up at a time.
 REMEMBERED, STRETCH_BYTES = 1 << 21, 2 << 20
+#: Stretches in one call of the tokenizer.
+GROUP = 128
 
 
 def cut_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,9 +34,10 @@ def cut_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 def cut_spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = IS_SPACE[data]
     last, before = data[:-1], np.r_[np.uint8(0), data[:-2]]
-    far = ((before == 0xC2) & ((last == 0x85) | (last == 0xA0))) | np.isin(before, [0x80, 0x81, 0x9A])  # may end a wider space
-    loose = np.where(last < 0x80, ~IS_SPACE[last] & ~((last >= 0x1C) & (last <= 0x1F)), ~far)
-    return _from_starts(np.flatnonzero(space[1:] & loose) + 1, data, bounds)
+    found = np.flatnonzero(space[1:] & ~space[:-1])
+    last, before = last[found], before[found]
+    far = ((before == 0xC2) & ((last == 0x85) | (last == 0xA0))) | (before == 0x80) | (before == 0x81) | (before == 0x9A)  # may end a wider space
+    return _from_starts(found[np.where(last < 0x80, (last < 0x1C) | (last > 0x1F), ~far)] + 1, data, bounds)
 
 
 def cut_blanks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,15 +45,21 @@ def cut_blanks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _from_starts(found: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.union1d(found, bounds[:-1])
-    start = start[start < len(data)]
+    first = np.zeros(len(data) + 1, bool)
+    first[found] = True
+    first[bounds[:-1]] = True
+    start = np.flatnonzero(first[:-1])
     return start, np.append(start[1:], len(data)) if len(start) else start
 
 
 class Stretches:
-    """Ids of stretches by their hash; encode gives a list of ids for each text."""
+    """Ids of stretches by their hash.
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], cut: Callable):
+    encode takes texts and their sizes in bytes, and gives parts: places in the texts, all
+    ids of these texts in order, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[str], np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], cut: Callable):
         self.encode, self.cut = encode, cut
         self._clear()
 
@@ -58,17 +67,18 @@ class Stretches:
         self.hash, self.entry = np.zeros(0, U), np.zeros(0, np.int64)
         self.at, self.flat, self.used, self.entries = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0, 0
 
-    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        ids = self.encode(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
+    def _learn(self, h: np.ndarray, texts: list[str], bytes_of: np.ndarray) -> None:
+        places, ids, sizes = zip(*self.encode(texts, bytes_of), strict=True)
+        flat, size = np.concatenate(ids), np.concatenate(sizes)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + len(flat)] = flat
         self.at = np.concatenate([self.at, self.used + np.cumsum(size)])
-        self.used += total
+        self.used += len(flat)
+        entry = np.empty(len(h), np.int64)
+        entry[np.concatenate(places)] = self.entries + np.arange(len(h))
         place = np.searchsorted(self.hash, h)
-        self.entry = np.insert(self.entry, place, self.entries + np.arange(len(h)))
+        self.entry = np.insert(self.entry, place, entry)
         self.hash = np.insert(self.hash, place, h)
         self.entries += len(h)
 
@@ -85,7 +95,8 @@ class Stretches:
         new = np.flatnonzero(self._look(h) < 0)
         if len(new):
             raw = data.tobytes()
-            self._learn(h[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            a, b = start[first[new]], end[first[new]]
+            self._learn(h[new], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a)
         entry = self._look(h)[back]
         size = self.at[entry + 1] - self.at[entry]
         stop = np.cumsum(size)
@@ -101,12 +112,58 @@ class Stretches:
             yield i, ids, at
 
 
+def one_by_one(encode: Callable[[list[str]], list[list[int]]]):
+    """An encoder of stretches from one of lists of texts."""
+
+    def run(texts: list[str], _: np.ndarray):
+        ids = encode(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        yield np.arange(len(texts)), np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum())), size
+
+    return run
+
+
+def _joined(tok, spaced: bool):
+    """An encoder that puts GROUP stretches into one text, where cuts hold as well, and finds them again by the tokens' bytes.
+
+    Without white space between them only ASCII words are joined, by spaces, since other
+    letters can change their size in normalisation.
+    """
+    widths = np.zeros(max(tok.get_vocab().values()) + 1, np.int64)
+    for piece, i in tok.get_vocab().items():
+        widths[i] = len(piece.removesuffix("</w>")) if not spaced else len(piece)  # a character stands for a byte
+    white = set(" \t\n\r\v\f")
+
+    def easy(s: str) -> bool:
+        return (s[0] in white and (s[-1].isalnum() or (s[-1].isascii() and s[-1] > " "))) if spaced else s.isascii()
+
+    def run(texts: list[str], sizes: np.ndarray):
+        simple = np.fromiter(map(easy, texts), bool, len(texts))
+        rest = [np.flatnonzero(~simple)]
+        places = np.flatnonzero(simple)
+        groups = [places[i : i + GROUP] for i in range(0, len(places), GROUP)]
+        glue = "" if spaced else " "
+        for g, found in zip(groups, tok.encode_batch_fast([glue.join([texts[k] for k in g.tolist()]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            stop, want = np.cumsum(widths[ids]), np.cumsum(sizes[g])
+            cut = np.searchsorted(stop, want) + 1
+            if len(stop) and cut[-1] == len(ids) and np.array_equal(stop[cut - 1], want):
+                yield g, ids, np.diff(cut, prepend=0)
+            else:
+                rest.append(g)
+        left = np.concatenate(rest)
+        if len(left):
+            plain = one_by_one(lambda t: [x.ids for x in tok.encode_batch_fast(t, add_special_tokens=False)])
+            for _, ids, size in plain([texts[k] for k in left.tolist()], sizes):
+                yield left, ids, size
+
+    return run
+
+
 @lru_cache(4)
 def byte_level(path: str, spaced: bool) -> Stretches:
     """Stretches of a file of the tokenizers library, without added special tokens; one for each worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    fast = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    return Stretches(lambda texts: [x.ids for x in fast(texts, add_special_tokens=False)], cut_spaced if spaced else cut_words)
+    return Stretches(_joined(Tokenizer.from_file(path), spaced), cut_spaced if spaced else cut_words)
