@@ -15,6 +15,7 @@ _MODULES = {
     "op6_repeat_automata": "repeat_automata",
     "op3_token_files": "token_files",
     "op9_curve_packing": "curve_packing",
+    "op4_dom_marginals": "dom_marginals",
 }
 
 
