@@ -16,6 +16,7 @@ _MODULES = {
     "op3_token_files": "token_files",
     "op9_curve_packing": "curve_packing",
     "op4_dom_marginals": "dom_marginals",
+    "op10_piece_backtracking": "piece_backtracking",
 }
 
 
