@@ -20,12 +20,16 @@ def _whole(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 def pack(sorted_hashes: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Hashes in ascending order as differences, and further columns of unsigned numbers beside them."""
+    """Hashes in ascending order as differences, and further columns of unsigned numbers or doubles beside them (doubles come back as their bits)."""
     n = len(sorted_hashes)
     parts = [_planes(np.diff(sorted_hashes, prepend=U(0)).astype(U))]
     kinds = [8]
     for c in columns:
-        kind = np.min_scalar_type(int(c.max())) if n else np.uint8
+        if c.dtype == np.float64:
+            c = np.ascontiguousarray(c).view(U)
+            kind = U
+        else:
+            kind = np.min_scalar_type(int(c.max())) if n else np.uint8
         parts.append(_planes(c.astype(kind)))
         kinds.append(np.dtype(kind).itemsize)
     head = np.array([n, len(parts), *[y for p, k in zip(parts, kinds, strict=True) for y in (len(p), k)]], "<u4")

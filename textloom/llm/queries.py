@@ -17,6 +17,7 @@ _MODULES = {
     "op9_curve_packing": "curve_packing",
     "op4_dom_marginals": "dom_marginals",
     "op10_piece_backtracking": "piece_backtracking",
+    "op2_katz_backoff": "katz_backoff",
 }
 
 
