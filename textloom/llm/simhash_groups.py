@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tables
@@ -195,5 +195,26 @@ def group_documents(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group, all columns: that of the least doc_id (null last; of its rows the least fingerprint and text).
+
+    A group without any doc_id keeps one row for each fingerprint.
+
+    Input as for group_documents; docs must have no column fp or place.
+    """
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(simhash(b.column(text)).view(np.int64))], [*b.schema.names, "fp"])
+
+    marked = docs.mapInArrow(run, tables.with_columns(docs.schema, [("fp", "long")]))
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    heads = group_documents(docs).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(F.min(F.struct(rank.alias("place"), F.conv("fingerprint", 16, -10).cast("long").alias("fp"))).alias("head")).select("head.*")
+    found = marked.withColumn("place", rank).join(heads, ["place", "fp"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("place", "fp").orderBy("text"))
+    return found.withColumn("n", first).where("n = 1").select(docs.columns)
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_documents(tables.table(spark, sf_dir, "documents"))
