@@ -1,0 +1,12 @@
+"""Judgements that hold for every query of a log."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def for_every_query(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the log, gathered to one row, is laid beside each judged document."""
+    ids = queries.agg(F.sort_array(F.collect_list("query_id")).alias("ids"))  # a query log is small by nature
+    return docs.crossJoin(F.broadcast(ids)).select(F.explode("ids").alias("query_id"), "doc_id")

@@ -1,0 +1,20 @@
+"""Streams of new documents into stored postings (an extension: batches build whole indexes)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from textloom.operators.index import build_index
+
+
+def append_postings(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends postings and documents of each micro-batch of rows (doc_id, url, title, text); runs until the input is used up."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        index = build_index(batch)
+        for name in ("postings", "docs"):
+            # a batch that is run again writes over its own folder
+            getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
