@@ -25,18 +25,23 @@ class Index:
 def build_index(pages: DataFrame) -> Index:
     """An index of rows (doc_id, url, title, text). Title tokens come first in the shared positions; null fields are empty.
 
-    Tokens are dealt out by (term, document), so that a frequent term is no hot key; only
-    counts are gathered by term, after partial sums.
+    Whole documents are dealt out by doc_id, which is less to move than their tokens; grouping by
+    (document, term) then needs no further exchange, and a frequent term is no hot key. Only counts
+    are gathered by term, after partial sums.
     """
-    split = pages.select("doc_id", "url", F.coalesce("title", F.lit("")).alias("title"), tokens("title").alias("head"), tokens("text").alias("body"))
+    spark = pages.sparkSession
+    # a fixed number, as small tables would else be put back into one task
+    spread = pages.select("doc_id", "url", F.coalesce("title", F.lit("")).alias("title"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    split = spread.select("doc_id", "url", "title", tokens("title").alias("head"), tokens("text").alias("body"))
     docs = split.select("doc_id", "url", "title", (F.size("head") + F.size("body")).alias("length"), F.size("head").alias("title_length"), F.size("body").alias("body_length"))
     each = split.select("doc_id", F.size("head").alias("cut"), F.posexplode(F.concat("head", "body")).alias("pos", "term"))
-    in_title = F.col("pos") < F.col("cut")
-    postings = each.groupBy("term", "doc_id").agg(
-        F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.sort_array(F.collect_list(F.when(in_title, F.col("pos")))).alias("title_positions"), F.sort_array(F.collect_list(F.when(~in_title, F.col("pos") - F.col("cut")))).alias("body_positions")
+    lists = each.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("cut").alias("cut"))
+    cut = F.col("cut")  # the same throughout a document
+    postings = lists.select(
+        "term", "doc_id", F.size("positions").alias("tf"), "positions", F.filter("positions", lambda p: p < cut).alias("title_positions"), F.transform(F.filter("positions", lambda p: p >= cut), lambda p: p - cut).alias("body_positions")
     )
     # counts need no positions
-    pairs = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    pairs = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     terms = pairs.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     return Index(docs, postings, terms, index_meta(docs, terms))
 

@@ -208,7 +208,8 @@ def snippet_render(spark, sf_dir):
 
 
 def _snippets(spark, sf_dir):
-    return snippets.snippets(_table(spark, sf_dir, "documents").select("doc_id", text.tokens("text").alias("tokens")), ["the", "ingor"], 20)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return snippets.snippets(docs.select("doc_id", text.tokens("text").alias("tokens")), ["the", "ingor"], 20)
 
 
 # pages
