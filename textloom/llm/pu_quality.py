@@ -8,7 +8,7 @@ Features are rates of pairs of byte classes (small and capital letters, digits,
 blanks, line feeds, single marks ...) and of repeated words over the whole text; labels, lang,
 source and doc_id are no features. The score is the model's probability of label 1,
 mapped by a monotone fit on the labelled training rows: the slope is Platt's, and the
-shift lets KEEP_GOOD of the good rows reach ACCEPT.
+shift puts ACCEPT where the labels part best, letting KEEP_GOOD of the good rows in at least.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .wordscan import buffers, runs, scan
 
 #: Rows of each training sample at most: labelled rows, and unlabelled rows.
 SAMPLE = 4_000
-FOLDS, HELD_OUT, ACCEPT, KEEP_GOOD = 4, 2, 0.7, 0.995
-EPOCHS, RATE, DECAY, BATCH, SEED = 40, 0.02, 1e-4, 512, 5
+FOLDS, HELD_OUT, ACCEPT, KEEP_GOOD = 4, 2, 0.7, 0.99
+EPOCHS, RATE, DECAY, BATCH, SEED = 40, 0.005, 1e-2, 512, 5
 _MARKS = b".,;:!?'\"-()[]{}/\\|#*$%&<>@=_+~^`"
 
 
@@ -131,8 +131,11 @@ def platt(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
         hess = np.array([[(h * z * z).mean() + 1e-3, (h * z).mean()], [(h * z).mean(), h.mean() + 1e-9]])
         step = np.clip(np.linalg.solve(hess, grad), -1, 1)
         a, b = max(a - step[0], 1e-3), b - step[1]
-    # the accepted side starts where KEEP_GOOD of the good rows have been let in
-    least = float(np.quantile(z[y == 1], 1 - KEEP_GOOD))
+    # the accepted side starts where the labels part best, with KEEP_GOOD of the good rows let in at least
+    good, bad = np.sort(z[y == 1]), np.sort(z[y == 0])
+    tried = np.unique(z[z <= np.quantile(good, 1 - KEEP_GOOD)])
+    lost, let_in = np.searchsorted(good, tried) / len(good), 1 - np.searchsorted(bad, tried) / len(bad)
+    least = float(tried[len(tried) - 1 - np.argmin((lost + let_in)[::-1])])
     return Model(model.weight, model.bias, a / scale, float(np.log(ACCEPT / (1 - ACCEPT))) - a * least)
 
 
