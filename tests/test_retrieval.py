@@ -252,3 +252,87 @@ def test_entry_has_sql_for_its_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+def test_older_form(spark, tmp_path):
+    index = index_of(spark, ["hello world hello", "hello again", None], ["Greeting", "hello", ""])
+    path = str(tmp_path / "deep" / "index.json")
+    for compress in (True, False):
+        storage.save_json(index, path, compress=compress)
+        back = storage.load_json(spark, path)
+        text_rows = lambda df, *c: sorted(map(str, df.select(F.col("doc_id").cast("string").alias("doc_id"), *c).collect()))
+        assert text_rows(back.postings, "term", "tf", *storage.LISTS) == text_rows(index.postings, "term", "tf", *storage.LISTS)
+        assert text_rows(back.docs, "url", "title", "length", "title_length", "body_length") == text_rows(index.docs, "url", "title", "length", "title_length", "body_length")
+        assert sorted(map(str, back.terms.collect())) == sorted(map(str, index.terms.collect()))
+        assert sorted(x.name for x in (tmp_path / "deep").iterdir()) == ["index.json"] + ["index.json.postings.bin"] * compress
+    storage.save_json(index, path, compress=True)
+    (tmp_path / "deep" / "index.json.postings.bin").write_bytes(codecs.encode_named_blocks({"zzz\t0\tpositions": [1]}))
+    with pytest.raises(storage.StorageError):
+        storage.load_json(spark, path)
+    (tmp_path / "deep" / "index.json.postings.bin").unlink()
+    with pytest.raises(storage.StorageError):
+        storage.load_json(spark, path)
+    none = index_of(spark, ["x"])
+    none.postings, none.terms, none.docs = none.postings.limit(0), none.terms.limit(0), none.docs.limit(0)
+    storage.save_json(none, path)
+    assert storage.load_json(spark, path).postings.count() == 0
+
+
+def test_indexes_without_fields(spark, tmp_path):
+    (tmp_path / "old.json").write_text('{"meta": {"version": "1.0"}, "docs": {"0": {"url": "u", "title": "A b", "length": 3}, "1": {"url": "v", "title": "", "length": 9}}, "terms": {"a": {"df": 2, "cf": 3, "postings": {"0": {"tf": 2, "positions": [0, 2]}, "1": {"tf": 1, "positions": [4]}}}}}')
+    old = storage.load_json(spark, str(tmp_path / "old.json"))
+    scores = [{r["url"]: r["score"] for r in retrieve.find(old, "a", ranker=r).collect()} for r in ("bm25", "bm25f")]
+    assert scores[0] == scores[1] and min(scores[0].values()) > 0
+    new = storage.migrate(old)
+    assert {r["doc_id"]: (r["title_positions"], r["body_positions"]) for r in new.postings.collect()} == {"0": ([0], [0]), "1": ([], [4])}
+    assert {r["doc_id"]: (r["title_length"], r["body_length"]) for r in new.docs.collect()} == {"0": (2, 1), "1": (0, 9)}
+    assert new.meta.first()["version"] == "1.2"
+
+
+def test_markup_references_and_links(spark):
+    pages = [("https://h.x/a/b/c?q", '<title>A &amp;lt; &eacute;&#233;&#xE9; &nope; &#0; x&y</title><A class="c" HREF=\'../d/./e?x=../y\'>1</A><a data-href="no" href=f&amp;g>2</a><a href="../../../z/..">3</a><a href="./">4</a>')]
+    r = spark.createDataFrame(pages, "url string, html string").select(text.html_title(F.col("html")).alias("t"), text.html_links(F.col("html")).alias("l"), F.transform(text.html_links(F.col("html")), lambda x: text.url_resolved(x, F.col("url"))).alias("r")).first()
+    assert r["t"] == "A &lt; ééé &nope; &#0; x&y"
+    assert r["l"] == ["../d/./e?x=../y", "f&g", "../../../z/..", "./"]
+    assert r["r"] == ["https://h.x/a/d/e?x=../y", "https://h.x/a/b/f&g", "https://h.x/", "https://h.x/a/b/"]
+
+
+def test_encoded_documents(spark, tmp_path):
+    from textloom.operators import dense
+
+    def encoder(texts):
+        return [[t.lower().count(w) * 2.0 for w in ("cat", "dog", "fish")] for t in texts]
+
+    index = index_of(spark, ["purr", "bark", None, "none"], ["Cats", "Dogs", "Fish", ""])
+    vectors = dense.from_index(index, encoder)
+    dense.save(vectors, str(tmp_path / "v"), "counts")
+    back, model = dense.load(spark, str(tmp_path / "v"))
+    assert model == "counts" and {r["doc_id"]: list(r["embedding"]) for r in back.collect()} == {0: [1, 0, 0], 1: [0, 1, 0], 2: [0, 0, 1], 3: [0, 0, 0]}
+    rows = dense.rank(index, back, "Cats query", encoder, 2).collect()
+    assert [(r["doc_id"], r["score"]) for r in rows] == [(0, 1.0), (1, 0.0)] and rows[0]["matched_terms"] == []
+    assert dense.rank(index, back, "  ", encoder).collect() == []
+    with pytest.raises(storage.StorageError):
+        dense.load(spark, str(tmp_path / "nothing"))
+
+
+def test_cosine(spark):
+    texts = ["a b b c", "a a a", "d", "", "b d"]
+    index = index_of(spark, texts)
+    log = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (1, 3, "zzz"), (2, 0, "zzz")], "query_id long, qpos int, term string")
+    split = [t.split() for t in texts]
+    rare = {w: math.log((1 + len(texts)) / (1 + sum(w in s for s in split))) + 1 for w in "abcd"}
+    vector = lambda ws: {w: (1 + math.log(ws.count(w))) * rare[w] for w in ws if w in rare}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    q = vector(["a", "b", "a"])
+    expected = {i: round(sum(q[w] * v.get(w, 0) for w in q) / size(q) / size(v), 6) for i, v in enumerate(map(vector, split)) if v}
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieve.cosine_all(index, log).collect()}
+    assert got == {(1, i): s for i, s in expected.items() if s > 0}
+
+
+def test_cross_validation(spark):
+    rows = spark.createDataFrame([(q, d, float(d), 0.0, 0.0, 1.0, 1.0, 0.5, float(d > 2)) for q in range(3) for d in range(6)], "query_id long, doc_id long, bm25_sum double, tfidf_sum double, freq_sum double, doc_length double, matched_terms double, avg_query_idf double, grade double")
+    got = learned.cross_validated(rows, F.col("query_id"), rounds=2).collect()
+    assert len(got) == 18 and all((r["rank"] <= 3) == (r["doc_id"] > 2) for r in got)
+    assert {r["score"] for r in learned.cross_validated(rows, F.lit(1), rounds=2).collect()} == {0.0}
+    a, b = (spark.createDataFrame(list(enumerate(x)), "query_id int, ap double") for x in ([1.0, 0.5, 0.2], [0.5, 0.5, 0.4]))
+    assert tuple(ranking.wins(a, b).first())[:2] == (3, 1)

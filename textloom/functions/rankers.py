@@ -69,7 +69,9 @@ def bm25f(title_weight: float = 5.0, body_weight: float = 1.0, title_b: float =
             return tf / F.greatest(1 - b + b * length / F.greatest(mean, F.lit(1.0)), F.lit(1e-9))
 
         w = title_weight * field(s.title_tf, s.title_length, s.title_mean, title_b) + body_weight * field(s.body_tf, s.body_length, s.body_mean, body_b)
-        return _guarded(s, F.when(w > 0, rarity(s) * w * (k1 + 1) / (w + k1)).otherwise(0.0))
+        fields = F.when(w > 0, rarity(s) * w * (k1 + 1) / (w + k1)).otherwise(0.0)
+        # documents of older indexes have no fields
+        return _guarded(s, F.when(s.title_length.isNull(), bm25(k1, body_b)(s)).otherwise(fields))
 
     return score
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,38 +44,65 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
-#: Fixed values of HTML: named characters, the ampersand last.
-NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Characters by name, as the standard library knows them; one literal, folded when a plan is made.
+NAMED = json.dumps({name[:-1]: plain for name, plain in html5.items() if name.endswith(";")})
 
 
 def _characters(text: Column) -> Column:
-    for name, plain in NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(plain))
-    return text
+    """Character references decoded once each; unknown ones stay as they are."""
+    named = F.from_json(F.lit(NAMED), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#([0-9]{1,7});", 1)
+        hexed = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,6});", 1)
+        number = F.when(digits != "", F.hex(digits.cast("long"))).when(hexed != "", hexed)
+        value = F.conv(number, 16, 10).cast("long")
+        fits = ((value > 0) & (value < 0xD800)) | ((value > 0xDFFF) & (value < 0x110000))
+        by_number = F.when(fits, F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32"))
+        plain = F.coalesce(by_number, F.try_element_at(named, F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);", 1)))
+        return F.when(~piece.startswith("&") | plain.isNull(), piece).otherwise(F.concat(plain, F.regexp_replace(piece, "^&[^;]*;", "")))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), decoded), "")).otherwise(text)
 
 
 def html_links(html: Column) -> Column:
     """Addresses of links as written, in order, without empty, script, mail, telephone and fragment ones."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(r"<a\b[^>]*\bhref=\"([^\"]*)\""), 1), lambda x: _characters(F.trim(x)))
+    quoted = F.regexp_extract_all(html, F.lit(r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), 1)
+    found = F.transform(quoted, lambda x: F.trim(_characters(F.regexp_replace(x, "^[\"']|[\"']$", ""))))
     return F.filter(found, lambda x: (x != "") & ~F.lower(x).rlike("^(javascript:|mailto:|tel:|#)"))
 
 
 def url_resolved(link: Column, base: Column) -> Column:
-    """A link against the address of its page, without the fragment; dot segments stay as written."""
+    """A link against the address of its page, without the fragment and without dot segments."""
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.when(path == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
     out = (
         F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("//"), _undotted(F.concat(scheme, link)))
+        .when(link.startswith("/"), _undotted(F.concat(root, link)))
         .when(link.startswith("?"), F.concat(path, link))
-        .otherwise(F.concat(folder, link))
+        .otherwise(_undotted(F.concat(folder, link)))
     )
     return url_normalised(out)
 
 
+def _undotted(url: Column) -> Column:
+    """Steps `.` and `..` of the path taken; steps above the root are ignored."""
+    form = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/)([^?#]*)(.*)$"
+    names = F.split(F.regexp_extract(url, form, 2), "/")
+
+    def step(done: Column, name: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(name == "..", up).when(name == ".", done).otherwise(F.concat(done, F.array(name)))
+
+    kept = F.aggregate(names, F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(names, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    whole = F.concat(F.regexp_extract(url, form, 1), F.array_join(kept, "/"), end, F.regexp_extract(url, form, 3))
+    return F.when(url.rlike(r"^[^?#]*/\.\.?(/|$|[?#])") & url.rlike(form), whole).otherwise(url)
+
+
 def highlighted(words: Column, wanted: list[str]) -> Column:
     """Tokens joined by spaces, the wanted ones between double asterisks."""
     hit = F.array(*[F.lit(t) for t in wanted]) if wanted else F.array().cast("array<string>")

@@ -43,6 +43,12 @@ def pages(spark: SparkSession, sf_dir: str) -> Index:
     return build_index(rows.select(F.col("page_id").alias("doc_id"), "url", text.html_title(F.col("html")).alias("title"), text.html_text(F.col("html")).alias("text")))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> Index:
+    """Turns of conversations; the role is their title."""
+    name = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return build_index(_table(spark, sf_dir, "conversations").select(name.alias("doc_id"), name.alias("url"), F.col("role").alias("title"), "text"))
+
+
 def _joined(c: str):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
@@ -144,6 +150,7 @@ def _found(name: str, index: Callable, corpus: str, asked: str, oracle: str, **o
 for _name in ("frequency", "tfidf", "bm25"):
     _found(f"find_{_name}", documents, sql.DOCS, "the of", sql.find(["the", "of"], _name), ranker=_name)
 _found("find_bm25f_pages", pages, sql.PAGES, "the ingor", sql.find(["the", "ingor"], "bm25f"), ranker="bm25f")
+_found("find_bm25f_turns", turns, sql.TURNS, "user the", sql.find(["user", "the"], "bm25f"), ranker="bm25f")
 _found("find_bm25_pages", pages, sql.PAGES, "the of", sql.find(["the", "of"], "bm25"), ranker="bm25")
 _found("find_single_term", documents, sql.DOCS, "ingor", sql.find(["ingor"], "tfidf"))
 _found("find_and2", documents, sql.DOCS, "Ingor, the", sql.find(["ingor", "the"], "bm25"), ranker="bm25")
@@ -326,6 +333,19 @@ def overlap_at_5(spark, sf_dir):
     return own.select("query_id", F.round("overlap", 6).alias("overlap"))
 
 
+@query(sql.DOCS + sql.LOG + sql.COSINE + "SELECT query_id, doc_id, score, rank FROM cosines")
+def cosine_query_log(spark, sf_dir):
+    run = retrieve.cosine_all(documents(spark, sf_dir), query_log(spark, sf_dir))
+    return run.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(sql.DOCS + sql.LOG + sql.COSINE + sql.overlap("SELECT * FROM run WHERE ranker = 'tfidf' AND rank <= 5", "SELECT * FROM cosines WHERE rank <= 5"))
+def overlap_cosine_at_5(spark, sf_dir):
+    index, log = documents(spark, sf_dir), query_log(spark, sf_dir)
+    own = ranking.overlap(retrieve.find_all(index, log, ["tfidf"], 5), retrieve.cosine_all(index, log, 5), log)
+    return own.select("query_id", F.round("overlap", 6).alias("overlap"))
+
+
 @query(sql.DOCS + sql.LOG + sql.FEATURES)
 def ltr_features(spark, sf_dir):
     index = documents(spark, sf_dir)
@@ -334,13 +354,27 @@ def ltr_features(spark, sf_dir):
     return learned.features(index, log, run.select("query_id", "doc_id"))
 
 
+def _learnable(spark, sf_dir) -> DataFrame:
+    index, log = documents(spark, sf_dir), query_log(spark, sf_dir)
+    pairs = retrieve.find_all(index, log, ["bm25"], 10).select("query_id", "doc_id")
+    grades = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("grade"))
+    return learned.features(index, log, pairs).join(grades, "doc_id", "left").fillna(0.0, ["grade"]).cache()
+
+
 @query()
 def ltr_rank(spark, sf_dir):
-    index = documents(spark, sf_dir)
-    log = query_log(spark, sf_dir)
-    pairs = retrieve.find_all(index, log, ["bm25"], 10).select("query_id", "doc_id")
-    rows = learned.features(index, log, pairs).join(_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("grade")), "doc_id", "left").fillna(0.0, ["grade"]).cache()
+    rows = _learnable(spark, sf_dir)
     return learned.rank(learned.train(rows, rounds=10), rows)
 
 
+@query()
+def ltr_folds(spark, sf_dir):
+    """Average precision of the learned ranker on queries it wasn't shown, beside that of BM25."""
+    rows, log, good = _learnable(spark, sf_dir), query_log(spark, sf_dir), _judged(spark, sf_dir)
+    own = learned.cross_validated(rows, F.pmod("query_id", F.lit(3)), rounds=10).withColumn("ranker", F.lit("learned"))
+    plain = retrieve.ranked(rows.select("query_id", "doc_id", F.col("bm25_sum").alias("score"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("url")), ["query_id"], 10).withColumn("ranker", F.lit("bm25"))
+    both = ranking.metrics(own.select("ranker", "query_id", "doc_id", "rank").unionByName(plain.select("ranker", "query_id", "doc_id", "rank")), good, log)
+    return both.groupBy("query_id").agg(*[F.round(F.max(F.when(F.col("ranker") == r, F.col("ap"))), 6).alias(f"ap_{r}") for r in ("learned", "bm25")])
+
+
 __all__ = ["ORACLES", "QUERIES", "boolean"]

@@ -127,3 +127,20 @@ _IDF = "log10(1 + (num_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
 FEATURES = f""", mean AS (SELECT query_id, round(sum({_IDF} * times) / sum(times), 6) AS avg_query_idf FROM asked JOIN terms USING (term), facts GROUP BY query_id)
 SELECT query_id, doc_id, round(bm25_sum, 6) AS bm25_sum, round(tfidf_sum, 6) AS tfidf_sum, freq_sum, docs.length::DOUBLE AS doc_length, matched_terms, avg_query_idf
 FROM (SELECT query_id, doc_id, sum({_S['bm25']} * times) AS bm25_sum, sum({_S['tfidf']} * times) AS tfidf_sum, sum(tf * times)::DOUBLE AS freq_sum, sum(times)::DOUBLE AS matched_terms FROM hits GROUP BY ALL) JOIN run USING (query_id, doc_id) JOIN docs USING (doc_id) JOIN mean USING (query_id) WHERE ranker = 'bm25'"""
+_WEIGHT = "(1 + ln({n}::DOUBLE)) * (ln((1 + num_docs)::DOUBLE / (1 + df)) + 1)"
+COSINE = f""", norms AS (SELECT doc_id, sqrt(sum(pow({_WEIGHT.format(n='tf')}, 2))) AS norm FROM post JOIN terms USING (term), facts GROUP BY doc_id),
+weights AS (SELECT query_id, term, df, num_docs, {_WEIGHT.format(n='times')} AS w FROM asked JOIN terms USING (term), facts),
+own AS (SELECT query_id, sqrt(sum(w * w)) AS own FROM weights GROUP BY query_id),
+common AS (SELECT query_id, doc_id, sum(w * {_WEIGHT.format(n='tf')}) AS common FROM weights JOIN post USING (term) GROUP BY ALL),
+near AS (SELECT query_id, doc_id, url, round(common / (own * norm), 6) AS score FROM common JOIN own USING (query_id) JOIN norms USING (doc_id) JOIN docs USING (doc_id)),
+cosines AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM near WHERE score > 0 QUALIFY rank <= 10)
+"""
+
+
+def overlap(a: str, b: str) -> str:
+    """Common share of two lists of (query_id, doc_id), by query of the log."""
+    sides = f"SELECT query_id, doc_id, max(a) AS a, max(b) AS b FROM (SELECT query_id, doc_id, 1 AS a, 0 AS b FROM ({a}) UNION ALL SELECT query_id, doc_id, 0, 1 FROM ({b})) GROUP BY ALL"
+    return f"SELECT query_id, round(CASE WHEN na IS NULL THEN 1.0::DOUBLE ELSE both_::DOUBLE / greatest(na, nb) END, 6) AS overlap FROM (SELECT DISTINCT query_id FROM log) LEFT JOIN (SELECT query_id, sum(a) AS na, sum(b) AS nb, sum(a * b) AS both_ FROM ({sides}) GROUP BY query_id) USING (query_id)"
+
+
+TURNS = _corpus("SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS doc_id, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS url, role AS title, text FROM conversations")
