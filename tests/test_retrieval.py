@@ -214,6 +214,14 @@ def test_fetcher():
         fetch.Fetcher(retries=0)
 
 
+def test_fetcher_counts_texts():
+    alias = '<script>{}</script><p>same</p><a href="{}">next</a>'
+    site = {"https://h.x/": '<a href="/a">1</a><a href="/b">2</a>', "https://h.x/a": alias.format(1, "/c"), "https://h.x/b": alias.format(2, "/d"), "https://h.x/c": "c", "https://h.x/d": "d"}
+    f = fetch.Fetcher(delay=0, retries=1, ask=lambda u: (200, site[u]) if u in site else (404, ""))
+    assert [u[-1] for u, _ in f.walk("https://h.x/", 3)] == ["/", "a", "b", "c"]
+    assert len(f.walk("https://h.x/")) == 5
+
+
 def test_learned(spark):
     index = index_of(spark, ["alpha beta", "zeta"])
     log = spark.createDataFrame([(1, 0, "alpha"), (1, 1, "unknown")], "query_id long, qpos int, term string")
@@ -272,6 +280,12 @@ def test_older_form(spark, tmp_path):
     (tmp_path / "deep" / "index.json.postings.bin").unlink()
     with pytest.raises(storage.StorageError):
         storage.load_json(spark, path)
+    from textloom.cli import Shell
+
+    storage.save_json(index, path)
+    said: list[str] = []
+    Shell(spark, said.append).run([f"load {path}", "find again"])
+    assert said[0] == "3 documents, 4 terms" and said[1].startswith("1. https://x.com/p1")
     none = index_of(spark, ["x"])
     none.postings, none.terms, none.docs = none.postings.limit(0), none.terms.limit(0), none.docs.limit(0)
     storage.save_json(none, path)

@@ -92,8 +92,8 @@ class Shell:
 
     def do_load(self, args: list[str]) -> None:
         if len(args) != 1:
-            raise ValueError("load needs a folder")
-        self.index = storage.load(self.spark, args[0])
+            raise ValueError("load needs a folder, or a JSON file of the older form")
+        self.index = storage.load_json(self.spark, args[0]) if args[0].endswith(".json") else storage.load(self.spark, args[0])
         m = self.index.meta.first()
         self.say(f"{m['num_docs']} documents, {m['num_terms']} terms")
 
