@@ -126,9 +126,10 @@ def cosine_all(index: Index, queries: DataFrame, top_k: int = 10, lengths: DataF
     return ranked(scores, ["query_id"], top_k)
 
 
-def ranked(rows: DataFrame, by: list[str], top_k: int) -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], top_k: int | None) -> DataFrame:
     """Rank within groups by score, ties by url; the limit lets Spark cut before it shuffles."""
     from pyspark.sql import Window
 
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "url")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    out = rows.withColumn("rank", F.row_number().over(order))
+    return out if top_k is None else out.where(F.col("rank") <= top_k)

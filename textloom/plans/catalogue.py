@@ -354,9 +354,14 @@ def ltr_features(spark, sf_dir):
     return learned.features(index, log, run.select("query_id", "doc_id"))
 
 
+def _asked(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+
+
 def _learnable(spark, sf_dir) -> DataFrame:
+    """Every query beside every document; those without any of its words have zeros for terms."""
     index, log = documents(spark, sf_dir), query_log(spark, sf_dir)
-    pairs = retrieve.find_all(index, log, ["bm25"], 10).select("query_id", "doc_id")
+    pairs = index.docs.select("doc_id").crossJoin(F.broadcast(_asked(spark, sf_dir))).select("query_id", "doc_id")
     grades = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("grade"))
     return learned.features(index, log, pairs).join(grades, "doc_id", "left").fillna(0.0, ["grade"]).cache()
 
@@ -364,16 +369,16 @@ def _learnable(spark, sf_dir) -> DataFrame:
 @query()
 def ltr_rank(spark, sf_dir):
     rows = _learnable(spark, sf_dir)
-    return learned.rank(learned.train(rows, rounds=10), rows)
+    return learned.rank(learned.train(rows), rows)
 
 
 @query()
 def ltr_folds(spark, sf_dir):
-    """Average precision of the learned ranker on queries it wasn't shown, beside that of BM25."""
-    rows, log, good = _learnable(spark, sf_dir), query_log(spark, sf_dir), _judged(spark, sf_dir)
-    own = learned.cross_validated(rows, F.pmod("query_id", F.lit(3)), rounds=10).withColumn("ranker", F.lit("learned"))
-    plain = retrieve.ranked(rows.select("query_id", "doc_id", F.col("bm25_sum").alias("score"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("url")), ["query_id"], 10).withColumn("ranker", F.lit("bm25"))
-    both = ranking.metrics(own.select("ranker", "query_id", "doc_id", "rank").unionByName(plain.select("ranker", "query_id", "doc_id", "rank")), good, log)
+    """Average precision of the learned ranker on queries it wasn't shown, beside that of BM25; both rank all documents."""
+    rows, good = _learnable(spark, sf_dir), _judged(spark, sf_dir)
+    own = learned.cross_validated(rows, F.pmod("query_id", F.lit(3))).withColumn("ranker", F.lit("learned"))
+    plain = retrieve.ranked(rows.select("query_id", "doc_id", F.col("bm25_sum").alias("score"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("url")), ["query_id"], None).withColumn("ranker", F.lit("bm25"))
+    both = ranking.metrics(own.select("ranker", "query_id", "doc_id", "rank").unionByName(plain.select("ranker", "query_id", "doc_id", "rank")), good, _asked(spark, sf_dir))
     return both.groupBy("query_id").agg(*[F.round(F.max(F.when(F.col("ranker") == r, F.col("ap"))), 6).alias(f"ap_{r}") for r in ("learned", "bm25")])
 
 
