@@ -407,7 +407,8 @@ def test_simhash(docs, none):
         least[root[p]] = min(d, least.get(root[p], d))
     got = simhash_groups.group_documents(docs).collect()
     assert sorted(map(tuple, got)) == sorted((d, format(prints[d], "016x"), least[root[prints[d]]]) for d, _ in plain())
-    one = simhash_groups.keep_one(docs.drop("fp")).collect()
+    one = simhash_groups.keep_one(docs.selectExpr("*", "7 as n", "8 as place")).collect()
+    assert {(r["n"], r["place"]) for r in one} == {(7, 8)} and [r["fp"] for r in one] == [r["doc_id"] // 3 if r["doc_id"] != 39 else r["fp"] for r in one]
     assert sorted(r["doc_id"] for r in one) == sorted(least.values())
     assert simhash_groups.group_documents(none).collect() == []
 

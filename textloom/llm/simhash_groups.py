@@ -4,7 +4,7 @@ Fingerprints: 64 bits over runs of three words. Distinct fingerprints that diffe
 at most two bits are linked: of four blocks of 16 bits at least two are equal, so
 candidates meet under one of six keys. A key with more than MOST_IN_GROUP
 fingerprints is split by thirds of its free bits, one of which must be equal as
-well, at most twice; that leaves at most 2^14 in a group. Each group is sorted by Gray
+well, at most twice; that leaves at most 2^15 in a group. Each group is sorted by Gray
 rank and searched through a tree whose upper nodes hold the bits that all below
 share; differences add up on the way down, and a node over the limit is left out
 with all below it.
@@ -179,6 +179,15 @@ def links(prints: DataFrame) -> DataFrame:
     return rows.repartition("mask", "value").mapInArrow(_links, "a long, b long")
 
 
+def _components(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of rows (doc_id, fp)."""
+    nodes = tables.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "component_id")
+
+
 def group_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id (least doc_id reachable) of each row.
 
@@ -187,33 +196,28 @@ def group_documents(docs: DataFrame) -> DataFrame:
     no other. An empty table gives no rows; other columns are ignored.
     """
     rows = tables.keep(tables.texts(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    nodes = tables.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_components(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group, all columns: that of the least doc_id (null last; of its rows the least fingerprint and text).
 
-    A group without any doc_id keeps one row for each fingerprint.
-
-    Input as for group_documents; docs must have no column fp or place.
+    A group without any doc_id keeps one row for each fingerprint. Input as for group_documents; columns may have any names.
     """
-    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(simhash(b.column(text)).view(np.int64))], [*b.schema.names, "fp"])
-
-    marked = docs.mapInArrow(run, tables.with_columns(docs.schema, [("fp", "long")]))
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    heads = group_documents(docs).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(F.min(F.struct(rank.alias("place"), F.conv("fingerprint", 16, -10).cast("long").alias("fp"))).alias("head")).select("head.*")
-    found = marked.withColumn("place", rank).join(heads, ["place", "fp"], "left_semi")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(simhash(b.column(1)).view(np.int64))], [*b.schema.names, "fp"])
+
+    own = tables.apart(docs)
+    marked = tables.keep(own.mapInArrow(run, tables.with_columns(own.schema, [("fp", "long")])))  # fingerprints are found once
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("place")
+    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
+    named = rows.groupBy("fp").agg(F.min(place).alias("place")).join(_components(rows), "fp")
+    heads = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(F.struct("place", "fp")).alias("head")).select("head.*")
+    found = marked.withColumn("place", place).join(heads, ["place", "fp"], "left_semi")
     first = F.row_number().over(Window.partitionBy("place", "fp").orderBy("text"))
-    return found.withColumn("n", first).where("n = 1").select(docs.columns)
+    return tables.together(found.withColumn("n", first).where("n = 1"), docs.columns)
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

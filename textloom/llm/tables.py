@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one task is meant to hold.
 TASK_BYTES = 8 << 20
+#: Bytes of text from which tasks grow with the root of the input.
+GROWS_FROM = 4 << 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +26,28 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all other columns in one named rest, so that no name can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("#")).alias("rest"))
+
+
+def together(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that `apart` put away, in their order."""
+    return rows.select([F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in columns])
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
 
 
+def grown(size: int) -> float:
+    """By how much tasks grow for a large input, so that the pieces between all tasks grow no faster than the input."""
+    return max(1.0, math.sqrt(size / GROWS_FROM))
+
+
 def tasks_for(size: int, each: int = TASK_BYTES, least: int = 1) -> int:
-    return max(least, math.ceil(size / each))
+    return max(least, math.ceil(size / (each * grown(size))))
 
 
 def deal(df: DataFrame, n: int, column: str) -> DataFrame:
@@ -38,13 +56,20 @@ def deal(df: DataFrame, n: int, column: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A written copy in the shared folder of spark.checkpoint.dir; cuts the lineage and survives lost executors."""
+    """A written copy in the shared folder of spark.checkpoint.dir; cuts the lineage, survives lost executors, goes when the session does."""
     spark = df.sparkSession
     path = f"{folder(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """The folder is deleted when the driver's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def folder(spark: SparkSession) -> str:
     """Where tables and files are kept: a folder that the driver and all executors share."""
     return (spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)).rstrip("/")
