@@ -246,6 +246,45 @@ def test_pages(spark):
     assert len(by[4][1].split()) == 50_000
 
 
+BODY = "<article><h1>Heading of it</h1>" + "".join(f"<p>Sentence number {i} of the article stands here. It has some words more, too.</p>" for i in range(6)) + "</article>"
+SAID = " ".join(["Heading of it", *[f"Sentence number {i} of the article stands here. It has some words more, too." for i in range(6)]])
+MENU = "<nav class=menu><a href=/a>Home</a> <a href=/b>News</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><body>{MENU}{BODY}</body></html>",  # head without an end
+        f"<title>T</title><meta charset=utf-8>{MENU}{BODY}",
+        f'<html><head></head><body><script>var a="<!--";</script>{MENU}{BODY}</body></html>',
+        f"<html><head></head><body><script>if (a < b) x = '<div';</script><style>p > a {{}}</style>{MENU}{BODY}</body></html>",
+        f"<html><body>{MENU}<div><button>Press</div>{BODY}</body></html>",  # a button without an end
+        f"<html><body><button>Press{MENU}{BODY}</body></html>",
+        f"<html><body><button><div>Press</div></button>{MENU}{BODY}</body></html>",
+        f"<html><body>{MENU}<select><option>One<option>Two{BODY}</body></html>",
+        f"<html><body>{MENU}<noscript>Turn it on{BODY}</body></html>",
+        f"<html><body>{MENU}{BODY}<p class='x>broken <b>quote</b></body></html>",
+        f"<html><body>{MENU}{BODY}<!-- never closed <p>gone</p>",
+    ],
+)
+def test_unclosed_markup(page):
+    text = dom_marginals.extract([page], dom_marginals.train())[0]
+    assert SAID in text and "Home" not in text and "gone" not in text and "var a" not in text
+
+
+def test_deep_and_odd_pages():
+    import time
+
+    model, start = dom_marginals.train(), time.time()
+    deep = "<div>" * 100_000 + BODY + "</b>" * 50_000 + "</div>" * 100_000
+    inline = "<b>" * 50_000 + "<p>a" * 20_000
+    odd = ["<a <a <a " * 20_000, "<title>" * 20_000 + "x", "<button>" * 20_000 + "x", "<p class='" * 5_000, "<li>a" * 20_000, "<" * 100_000]
+    assert len(dom_marginals.extract([deep, inline, *odd], model)) == 8
+    assert time.time() - start < 10
+    shallow = dom_marginals.extract(["<div>" * 20 + BODY + "</div>" * 3 + "</i>"], model)
+    assert shallow == [SAID]
+
+
 def test_marginals_equal_enumeration():
     tree = dom_marginals.parse(labelled_pages.pages(1, 5)[0])
     small = dom_marginals.parse("<div><p>a b c.</p><ul><li>x</li><li>y</li></ul></div>")

@@ -25,14 +25,18 @@ from . import tables
 from .labelled_pages import MARK, pages
 
 STEPS, RATE, DECAY = 250, 0.05, 2e-4
+#: Depth from which elements hang side by side.
+MOST_DEPTH = 512
 
 # Fixed values of HTML: element groups.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe head title textarea select option button object canvas math datalist".split())
-RAW = frozenset("script style noscript template svg iframe title textarea".split())
+HIDDEN = frozenset("script style noscript template svg iframe head title textarea select option optgroup button object canvas math datalist".split())
+RAW = frozenset("script style iframe title textarea".split())
+IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
+PAIRED = frozenset("noscript template svg select button object canvas math datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "thead": "tbody thead", "tbody": "tbody thead"}
+SAME = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "thead": ["tbody", "thead"], "tbody": ["tbody", "thead"], "option": ["option"]}
 SCOPE = frozenset("ul ol dl table div article section main body".split())
 GROUPS = ["body html", "nav menu", "header", "footer address", "aside", "form fieldset", "article", "main", "section", "div", "p blockquote pre", "ul ol dl", "li dt dd", "h1", "h2 h3 h4 h5 h6", "table tr td th tbody thead", "a", "figure figcaption"]
 GOOD = re.compile(r"content|article|post|entry|main|story|text|body", re.I)
@@ -40,6 +44,9 @@ BAD = re.compile(
     r"(?:^|[^a-z])(?:ads?|nav|menu|tags?)(?:$|[^a-z])|advert|sponsor|promo|banner|navbar|breadcrumb|header|masthead|foot|copyright|side|cookie|notice|consent|alert|popup|modal|comment|respond|discuss|reply|disqus|share|social|related|recommend|newsletter|subscri|signup|login|form|search|widget|toolbar|pager|paginat", re.I
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_PAIR = {t: re.compile(rf"<(/?){t}\b", re.I) for t in PAIRED}
+_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 WIDTH = len(GROUPS) + 12
@@ -56,137 +63,161 @@ class Tree:
     texts: list[str]
 
 
+def _next(page: str, at: int, last: int) -> re.Match | None:
+    """The next markup; a tag whose quotes don't close ends at its first >. last: place of the page's last >."""
+    while (at := page.find("<", at)) >= 0:
+        if at < last or page.startswith("<!--", at):
+            if m := TOKEN.match(page, at) or LOOSE.match(page, at):
+                return m
+        at += 1
+    return None
+
+
+class _Open:
+    """The open elements: tag, node (inline elements: -1) and whether text below is hidden; places by tag, so that no search walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool]] = [("html", 0, False)]
+        self.blocks, self.scopes = [0], [0]  # places of elements that are not inline, and of those that end a search
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, node, self.stack[-1][2] or tag in HIDDEN))
+        self.places.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def parse(page: str) -> Tree:
-    """A tolerant reading: what is left open is closed by its parent's end tag."""
-    parent, leaf, depth, tags, marks = [-1], [False], [0], ["html"], [(False, False)]
-    size, linked, stops, texts = [0], [0], [0], [""]
-    stack = [0]
+    """A tolerant reading, in time linear in the page.
+
+    What is left open is closed by its parent's end tag. Hidden elements are elements like others,
+    whose text is left out; head ends where the body's content begins, an option where a block begins.
+    A script or style without an end hides the rest of the page, as in browsers; other hidden elements
+    that are not closed before the next of their kind hide nothing. Elements below MOST_DEPTH hang at that depth, as in browsers.
+    """
+    parent, leaf, depth, tags, marks, own, links_in, stops, texts = [-1], [False], [0], ["html"], [(False, False)], [0], [0], [0], [""]
+    open_ = _Open()
     buffer: list[str] = []
     links = 0  # letters of the buffer that stand in a link
+    endless: set[str] = set()  # raw elements that don't end any more
+
+    def node(up: int, tag: str, mark: tuple[bool, bool], text: str = "", linked: int = 0) -> int:
+        if depth[up] >= MOST_DEPTH:
+            up = parent[up]
+        parent.append(up)
+        leaf.append(not tag)
+        depth.append(depth[up] + 1)
+        tags.append(tag)
+        marks.append(mark)
+        own.append(len(text))
+        links_in.append(min(linked, len(text)))
+        stops.append(text.count(".") + text.count("!") + text.count("?"))
+        texts.append(text)
+        return len(parent) - 1
 
     def flush() -> None:
         nonlocal links
-        text = " ".join(html.unescape("".join(buffer)).split()) if buffer else ""
+        said = " ".join(html.unescape("".join(buffer)).split()) if buffer else ""
         buffer.clear()
-        if text:
-            up = next(k for k in reversed(stack) if tags[k] not in INLINE)
-            parent.append(up)
-            leaf.append(True)
-            depth.append(depth[up] + 1)
-            tags.append("")
-            marks.append((False, False))
-            n = len(text)
-            size.append(n)
-            linked.append(min(links, n))
-            stops.append(text.count(".") + text.count("!") + text.count("?"))
-            texts.append(text)
-            while up >= 0:
-                size[up] += n
-                linked[up] += min(links, n)
-                stops[up] += stops[-1]
-                up = parent[up]
+        if said:
+            node(open_.stack[open_.blocks[-1]][1], "", (False, False), said, links)
         links = 0
 
     def text(part: str) -> None:
         nonlocal links
-        if part:
+        if part and not open_.stack[-1][2]:
             buffer.append(part)
-            if any(tags[k] == "a" for k in stack[-3:]):
+            if any(t == "a" for t, _, _ in open_.stack[-3:]):
                 links += len(part)
 
-    def pop(to: int) -> None:
-        while len(stack) > to:
-            stack.pop()
-
-    at, hidden = 0, ""
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        tag = (m[2] or "").lower()
-        if hidden:
-            if m[1] and tag == hidden:
-                hidden = ""
-            at = m.end()
-            continue
+    at, last = 0, page.rfind(">")
+    while m := _next(page, at, last):
         text(page[at : m.start()])
         at = m.end()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
+        inline = tag in INLINE
         if m[1]:
-            found = next((i for i in range(len(stack) - 1, 0, -1) if tags[stack[i]] == tag), None)
-            if tag not in INLINE:
-                flush()
-            if found is not None and (tag not in INLINE or all(tags[k] in INLINE for k in stack[found:])):
-                pop(found)
-            continue
-        if tag in HIDDEN:
-            if tag not in INLINE:
+            if not inline:
                 flush()
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif not m[0].endswith("/>"):
-                hidden = tag
+            found = open_.last(tag)
+            if found and (not inline or found > open_.blocks[-1]):
+                open_.pop(found)
             continue
         if tag == "br" or tag == "hr":
             flush()
-            continue
         if tag in VOID:
             continue
-        if tag not in INLINE:
+        if not inline:
             flush()
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == "p":
-                        pop(i)
-                        break
-                    if tags[stack[i]] not in INLINE:
-                        break
-            for i in range(len(stack) - 1, 0, -1):
-                t = tags[stack[i]]
-                if tag in SAME and t in SAME[tag].split():
-                    pop(i)
-                    break
-                if t in SCOPE:
-                    break
-        if tag == "html" and len(parent) == 1:
+        if tag in RAW:
+            if tag in endless:
+                continue
+            end = _END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            else:
+                endless.add(tag)
             continue
-        if m[0].endswith("/>") and tag not in INLINE:
+        if tag in PAIRED:
+            pair = None if tag in endless else _PAIR[tag].search(page, at)
+            if not pair:
+                endless.add(tag)
+            if not pair or not pair[1]:
+                continue  # left open: it hides nothing
+        if open_.places.get("head") and tag not in IN_HEAD:
+            open_.pop(open_.places["head"][-1])
+        if tag in CLOSES_P:
+            if open_.stack[open_.blocks[-1]][0] in ("option", "optgroup"):
+                open_.pop(open_.blocks[-1])
+            block = open_.blocks[-1]
+            if open_.stack[block][0] == "p":
+                open_.pop(block)
+        if tag in SAME:
+            found = open_.last(*SAME[tag])
+            if found > open_.scopes[-1]:
+                open_.pop(found)
+        if (tag == "html" and len(parent) == 1) or (m[0].endswith("/>") and not inline):
             continue
-        if tag in INLINE:
-            # inline elements are no nodes of the model; they stay open for their text
-            parent.append(stack[-1])
+        if inline:
+            open_.push(tag, -1)  # no node of the model; it stays open for its text
         else:
-            parent.append(next(k for k in reversed(stack) if tags[k] not in INLINE))
-        up = parent[-1]
-        said = " ".join(x for y in ATTRIBUTE.findall(m[3]) for x in y if x) if m[3] else ""
-        leaf.append(False)
-        depth.append(depth[up] + 1)
-        tags.append(tag)
-        marks.append((bool(said and GOOD.search(said)), bool(said and BAD.search(said))))
-        size.append(0)
-        linked.append(0)
-        stops.append(0)
-        texts.append("")
-        stack.append(len(parent) - 1)
-    if not hidden:
-        text(page[at:])
-        flush()
-    live = [k for k in range(len(parent)) if tags[k] not in INLINE or k == 0]
-    live = [k for k in live if size[k] or k == 0]
-    new = {k: i for i, k in enumerate(live)}
-    real: list[int] = []
-    for k in live:
+            rest = m[3]
+            said = " ".join(x for y in ATTRIBUTE.findall(rest) for x in y if x) if rest else ""
+            open_.push(tag, node(open_.stack[open_.blocks[-1]][1], tag, (bool(said and GOOD.search(said)), bool(said and BAD.search(said)))))
+    text(page[at:])
+    flush()
+    size, linked, ends = own, links_in, stops
+    for k in range(len(parent) - 1, 0, -1):  # children stand behind their parents
         up = parent[k]
-        while up >= 0 and tags[up] in INLINE and up != 0:
-            up = parent[up]
-        real.append(new.get(up, 0) if k else -1)
+        size[up] += size[k]
+        linked[up] += linked[k]
+        ends[up] += ends[k]
+    live = [k for k in range(len(parent)) if size[k] or k == 0]
+    new = {k: i for i, k in enumerate(live)}
+    real = [new[parent[k]] if k else -1 for k in live]
     total = max(size[0], 1)
-    rows = [(_GROUP.get(tags[k], -1), *marks[k], size[k], linked[k], stops[k], size[k] / total) for k in live]
-    deep = [0] * len(live)
-    for i in range(1, len(live)):
-        deep[i] = deep[real[i]] + 1
-    return Tree(real, [leaf[k] for k in live], deep, rows, [texts[k] for k in live])
+    rows = [(_GROUP.get(tags[k], -1), *marks[k], size[k], linked[k], ends[k], size[k] / total) for k in live]
+    return Tree(real, [leaf[k] for k in live], [depth[k] for k in live], rows, [texts[k] for k in live])
 
 
 @dataclass
