@@ -102,6 +102,31 @@ def test_compare_with_next(docs, none):
 # 2
 
 
+def plain_discounts(count):
+    """Katz's ratios by the formula, for counts 1 to 5; Ney's absolute discount where they don't serve; what 5 loses, for more."""
+    n = [0] + [sum(1 for x in count.values() if x == r) for r in range(1, 7)]
+    cut = min(max(n[1] / (n[1] + 2 * n[2]), 0.05), 0.95) if n[1] and n[2] else 0.5
+    out = [0.0] * 7
+    for r in range(1, 6):
+        ratio = None
+        if n[r] and n[1] and 6 * n[6] != n[1]:
+            big = 6 * n[6] / n[1]
+            ratio = ((r + 1) * n[r + 1] / (r * n[r]) - big) / (1 - big)
+        out[r] = ratio * r if ratio is not None and 0 < ratio < 1 else r - cut
+    out[6] = 5 - out[5]
+    return out
+
+
+def test_discounts_by_the_formula():
+    rng = random.Random(3)
+    for spread in (1.1, 1.5, 2.5, 4.0):
+        count = Counter({i: int(rng.paretovariate(spread)) for i in range(3000)})
+        got = katz_backoff.discounts(katz_backoff.of_counts(np.array(list(count.values()))))
+        assert np.allclose(got, plain_discounts(count))
+    assert np.allclose(katz_backoff.discounts(np.zeros(6)), plain_discounts({}))
+    assert np.allclose(katz_backoff.discounts(np.array([4, 0, 1, 0, 0, 9])), plain_discounts(dict(enumerate([1] * 4 + [3] + [6] * 9))))
+
+
 def katz(rows):
     toks = [WORD.findall(lower(x)) + ["</s>"] for _, x in rows]
     out = [zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]
@@ -111,8 +136,7 @@ def katz(rows):
             c.update(w)
             b.update(zip(["<s>"] + w[:-1], w))
     n, v = sum(c.values()), len(c)
-    of = lambda x: np.array([Counter(x.values())[i] for i in range(1, 7)])
-    d1, d2 = katz_backoff.discounts(of(c)), katz_backoff.discounts(of(b))
+    d1, d2 = plain_discounts(c), plain_discounts(b)
     cut = lambda r, d: r - d[6] if r > 5 else d[r]
     rest = n - sum(cut(r, d1) for r in c.values())
     p = lambda w: (cut(c[w], d1) if w in c else rest) / n
@@ -135,6 +159,16 @@ def test_katz(docs, none, monkeypatch):
         got = sorted(map(tuple, katz_backoff.score_corpus(docs, size).collect()))
         assert [g[:5] for g in got] == [w[:5] for w in want]
         assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+    # pairs that don't travel: a frequent one in both folds, one in training alone, one held out alone
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, "of the " * 40 + f"w{i} rest") for i in range(200)] + [(i, "only here " * 30) for i in held if i >= 200] + [(i, "in training " * 30 + "of x") for i in range(200, 300) if i not in held]
+    more = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(katz_backoff, "FLUSH", 2000)
+    words = katz_backoff.count_words(more, 12, 2000)
+    assert len(katz_backoff.vocabulary(words, 12).pairs) >= 6
+    got, want = sorted(map(tuple, katz_backoff.score_corpus(more, 12_000).collect())), sorted(katz(rows))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
     assert katz_backoff.score_corpus(none).collect() == []
     # no training row: one unknown word
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)

@@ -13,7 +13,8 @@ All work is by hash buckets. Pairs lie in the bucket of the predicted word, wher
 and c(v,w) are counted; the terms of log P that depend on the context alone, -log c(v)
 for each occurrence of v and log(a(v) c(v)) for each pair not seen, are added where v lies.
 Words so frequent that they would fill a bucket (a bounded list with counts) are spread by
-pair instead. What is dealt between tasks is packed: sorted hashes as differences,
+pair instead, and tokens of pairs as frequent (a bounded list, too) don't travel at all: each task
+counts them by document. What is dealt between tasks is packed: sorted hashes as differences,
 contexts through a dictionary. Word counts and context weights are written as
 tables by bucket; pair counts live in the exchange by bucket that all steps read.
 """
@@ -35,7 +36,7 @@ from . import packed, tables
 from .wordscan import U, buffers, mix, runs, scan
 
 FOLDS, HELD_OUT, K = 5, 1, 5
-#: Tokens packed at a time; bytes of text for each bucket; a word is spread if it has over this share of a bucket's tokens.
+#: Tokens packed at a time; bytes of text for each bucket (both grow with the root of large inputs, so rows between tasks grow with the input); a word is spread if it has over this share of a bucket's tokens.
 FLUSH, BUCKET_BYTES, SPREAD = 1 << 20, 12 << 20, 0.25
 END, BEGIN = U(0x1234567890ABCDEF), U(0x0FEDCBA987654321)
 
@@ -67,8 +68,13 @@ def of_counts(count: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(count, K + 2), minlength=K + 3)[1 : K + 2]
 
 
-def _tokens(docs_batches: Iterator[pa.RecordBatch], contexts: bool):
-    """For runs of about FLUSH tokens: word hashes, context hashes, document of each token, and of the documents: ids, held out, tokens."""
+def lost_of(types: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What counts lose in all, by rows of how many types have counts 1 to K + 1, and more."""
+    return types[:, :K] @ (np.arange(1, K + 1) - d[1 : K + 1]) + types[:, K:].sum(axis=1) * d[K + 1]
+
+
+def _tokens(docs_batches: Iterator[pa.RecordBatch], flush: int):
+    """For runs of about flush tokens: word hashes, context hashes, document of each token, and of the documents: ids, held out, tokens."""
     held: list[tuple] = []
     total = 0
 
@@ -84,15 +90,12 @@ def _tokens(docs_batches: Iterator[pa.RecordBatch], contexts: bool):
             n = j - i
             h = np.insert(w.hashes(), w.first[1:], END)
             doc = np.insert(w.doc, w.first[1:], np.arange(n))
-            if contexts:
-                before = np.concatenate([[BEGIN], h[:-1]])
-                before[np.r_[True, doc[1:] != doc[:-1]]] = BEGIN
-            else:
-                before = h
+            before = np.concatenate([[BEGIN], h[:-1]])
+            before[np.r_[True, doc[1:] != doc[:-1]]] = BEGIN
             out_fold = np.array([x is not None and zlib.crc32(str(x).encode()) % FOLDS == HELD_OUT for x in ids[i:j]], bool)
             held.append((h, before, doc, np.array(ids[i:j], object), out_fold, w.counts + 1))
             total += len(h)
-            if total >= FLUSH:
+            if total >= flush:
                 yield out()
                 held, total = [], 0
     if held:
@@ -110,28 +113,49 @@ def _split(h: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[tuple[int, sli
         yield int(b), slice(int(cut[b]), int(cut[b + 1]))
 
 
-def count_words(rows: DataFrame, buckets: int) -> DataFrame:
-    """The written table of training words: bucket, n (types), tokens, how many types have counts 1 to K + 1, and packed (hash, count)."""
+def count_words(rows: DataFrame, buckets: int, flush: int) -> DataFrame:
+    """The written table of training words: bucket, n (types), tokens, how many types have counts 1 to K + 1, packed (hash, count).
+
+    And of pairs that may be frequent, packed (pair, word, context, count): those that fill half of their share of a run of tokens.
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _, doc, _, out, _ in _tokens(batches, False):
+        for h, before, doc, _, out, _ in _tokens(batches, flush):
             own, count = np.unique(h[~out[doc]], return_counts=True)
-            found = [(b, packed.pack(own[s], count[s])) for b, s in _split(own, packed.bucket_of(own, buckets), buckets)]
+            found = [(b, b"W" + packed.pack(own[s], count[s])) for b, s in _split(own, packed.bucket_of(own, buckets), buckets)]
+            pair = _pair(h, before)
+            order = np.argsort(pair)
+            first = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]])
+            count = np.diff(np.r_[first, len(pair)])
+            often = count >= max(2, SPREAD / 2 * len(pair) / buckets)
+            at, count = order[first[often]], count[often]
+            found += [(b, b"P" + packed.pack(pair[at[s]], h[at[s]], before[at[s]], count[s])) for b, s in _split(pair[at], packed.bucket_of(pair[at], buckets), buckets)]
             if found:
                 yield _rows(found)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [packed.unpack(x.as_py()) for b in batches for x in b["data"]]
+        got = [x.as_py() for b in batches for x in b["data"]]
         if not got:
             return
-        h, count = _summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(np.int64) for g in got]))
-        yield pa.RecordBatch.from_arrays([pa.array([int(packed.bucket_of(h[:1], buckets)[0])], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(count.sum())], pa.int64()), pa.array([of_counts(count).tolist()], pa.list_(pa.int64())), pa.array([packed.pack(h, count)], pa.binary())], ["bucket", "n", "tokens", "types", "data"])
+        words, pairs = ([packed.unpack(x[1:]) for x in got if x[:1] == kind] for kind in (b"W", b"P"))
+        none = np.zeros(0, U)
+        h, count = _summed(np.concatenate([none, *[g[0] for g in words]]), np.concatenate([none, *[g[1] for g in words]]).astype(np.int64))
+        pair, word, before, times = (np.concatenate([none, *[g[k] for g in pairs]]) for k in range(4))
+        order = np.argsort(pair)
+        first = order[np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]][: len(pair)])]
+        row = [
+            pa.array([int(packed.bucket_of((h if len(h) else pair)[:1], buckets)[0])], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(count.sum())], pa.int64()),
+            pa.array([of_counts(count).tolist()], pa.list_(pa.int64())), pa.array([packed.pack(h, count)], pa.binary()), pa.array([packed.pack(pair[first], word[first], before[first], _summed(pair, times)[1])], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(row, ["bucket", "n", "tokens", "types", "data", "pairs"])
 
     dealt = tables.deal(rows.mapInArrow(part, "bucket int, data binary"), buckets, "bucket")
-    return tables.keep(dealt.mapInArrow(merge, "bucket int, n long, tokens long, types array<long>, data binary"))
+    return tables.keep(dealt.mapInArrow(merge, "bucket int, n long, tokens long, types array<long>, data binary, pairs binary"))
 
 
 def _summed(h: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    if not len(h):
+        return h, *columns
     order = np.argsort(h)
     h = h[order]
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -140,7 +164,7 @@ def _summed(h: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 
 @dataclass
 class Vocabulary:
-    """Numbers of the word table, and the words that are spread: at most 1 / (SPREAD / buckets)."""
+    """Numbers of the word table; words that are spread, and frequent pairs: at most a few times buckets / SPREAD of each."""
 
     tokens: int
     types: int
@@ -148,6 +172,9 @@ class Vocabulary:
     spread: np.ndarray
     spread_count: np.ndarray
     documents: int  # in training
+    pairs: np.ndarray  # frequent ones, with their words and contexts
+    pair_word: np.ndarray
+    pair_before: np.ndarray
 
     def counts(self, h: np.ndarray, local: np.ndarray) -> np.ndarray:
         """Local counts, but for words that are spread."""
@@ -173,12 +200,23 @@ def vocabulary(words: DataFrame, buckets: int) -> Vocabulary | None:
     of = np.sum([r["types"] for r in sums], axis=0)
     least = max(1, int(SPREAD * tokens / buckets))
 
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b["pairs"]:
+                pair, word, before, count = packed.unpack(x.as_py())
+                some = count >= max(2, least // 2)
+                yield pa.RecordBatch.from_arrays([pa.array([np.stack([pair[some], word[some], before[some]]).tobytes()], pa.binary())], ["pairs"])
+
+    got = [np.frombuffer(r["pairs"], U).reshape(3, -1) for r in words.select("pairs").mapInArrow(often, "pairs binary").collect()]  # SPREAD bounds the pairs
+    pairs = np.concatenate(got, axis=1)
+    pairs = pairs[:, np.argsort(pairs[0])]
+
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b["data"]:
                 h, c = packed.unpack(x.as_py())
                 c = c.astype(np.int64)
-                some = (c >= least) | (h == END)
+                some = (c >= least) | (h == END) | np.isin(h, pairs[1])
                 left = discounted(c, discounts(of)).sum()
                 yield pa.RecordBatch.from_arrays([pa.array([h[some].tobytes()], pa.binary()), pa.array([c[some].tobytes()], pa.binary()), pa.array([float(left)])], ["h", "c", "kept"])
 
@@ -186,7 +224,7 @@ def vocabulary(words: DataFrame, buckets: int) -> Vocabulary | None:
     h = np.concatenate([np.frombuffer(r["h"], U) for r in found])
     c = np.concatenate([np.frombuffer(r["c"], np.int64) for r in found])
     order = np.argsort(h)
-    out = Vocabulary(tokens, types, discounts(of), h[order], c[order], int(c[h == END][0]))
+    out = Vocabulary(tokens, types, discounts(of), h[order], c[order], int(c[h == END][0]), *pairs)
     out.rest = tokens - sum(r["kept"] for r in found)
     return out
 
@@ -195,26 +233,38 @@ def _pair(h: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(h + mix(before + U(0x9E3779B97F4A7C15)))
 
 
-def deal_pairs(rows: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
+def deal_pairs(rows: DataFrame, vocab: Vocabulary, buckets: int, flush: int) -> DataFrame:
     """Each token with its context, packed, in the bucket of the word (spread words: of the pair)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
-        for h, before, doc, ids, out, size in _tokens(batches, True):
+        for h, before, doc, ids, out, size in _tokens(batches, flush):
+            pair = _pair(h, before)
+            key = first + np.arange(len(ids))
+            to = packed.bucket_of(mix(key.astype(U)), buckets)
+            found = []
+            if len(vocab.pairs):
+                at = np.minimum(np.searchsorted(vocab.pairs, pair), len(vocab.pairs) - 1)
+                hot = vocab.pairs[at] == pair
+                name, n = np.unique(at[hot & ~out[doc]], return_counts=True)
+                found += [(b, b"C" + packed.pack(vocab.pairs[name[s]], n[s])) for b, s in _split(name, packed.bucket_of(vocab.pairs[name], buckets), buckets)]
+                both, n = np.unique(doc[hot] * len(vocab.pairs) + at[hot], return_counts=True)
+                own, name = both // len(vocab.pairs), both % len(vocab.pairs)
+                order = np.argsort(to[own], kind="stable")
+                own, name, n = own[order], name[order], n[order]
+                found += [(b, b"H" + packed.pack(key[own[s]].astype(U), name[s], n[s])) for b, s in _split(own, to[own], buckets)]
+                h, before, doc, pair = h[~hot], before[~hot], doc[~hot], pair[~hot]
             _, wide = vocab.find(h)
-            place = packed.bucket_of(np.where(wide, _pair(h, before), h), buckets)
+            place = packed.bucket_of(np.where(wide, pair, h), buckets)
             order = np.lexsort((before, h, place))
             h, before, doc, place = h[order], before[order], doc[order], place[order]
-            found = []
             for b, s in _split(h, place, buckets):
                 names, at = np.unique(before[s], return_inverse=True)
                 head = packed.pack(names)
                 body = packed.pack(h[s], at, doc[s], (~out[doc[s]]).astype(np.uint8))
                 found.append((b, b"P" + np.array([first, len(head)], "<i8").tobytes() + head + body))
-            key = first + np.arange(len(ids))
             known = np.array([x is not None for x in ids])
             own = np.array([x if x is not None else 0 for x in ids], np.int64)
-            to = packed.bucket_of(mix(key.astype(U)), buckets)
             for b in np.unique(to):
                 k = to == b
                 found.append((int(b), b"D" + zstandard.ZstdCompressor(level=1).compress(np.stack([key[k], own[k], known[k], out[k], size[k]]).astype("<i8").tobytes())))
@@ -237,12 +287,13 @@ class Pairs:
     first: np.ndarray  # a token of each distinct pair
 
 
-def _pairs(rows: Iterator, vocab: Vocabulary) -> tuple[Pairs | None, list[bytes]]:
-    hs, vs, ks, ts, docs = [], [], [], [], []
+def _pairs(rows: Iterator, vocab: Vocabulary) -> tuple[Pairs | None, dict[bytes, list[bytes]]]:
+    """The tokens, and other rows by kind: documents (D), frequent pairs by document (H) and in training (C)."""
+    hs, vs, ks, ts, other = [], [], [], [], {b"D": [], b"H": [], b"C": []}
     for r in rows:
         data = bytes(r["data"])
-        if data[:1] == b"D":
-            docs.append(data[1:])
+        if data[:1] != b"P":
+            other[data[:1]].append(data[1:])
             continue
         first, size = np.frombuffer(data, "<i8", 2, 1).tolist()
         (names,) = packed.unpack(data[17 : 17 + size])
@@ -251,8 +302,8 @@ def _pairs(rows: Iterator, vocab: Vocabulary) -> tuple[Pairs | None, list[bytes]
         vs.append(names[at])
         ks.append(first + doc.astype(np.int64))
         ts.append(train)
-    if not hs:
-        return None, docs
+    if not sum(map(len, hs)):
+        return None, other
     h, before, key, train = np.concatenate(hs), np.concatenate(vs), np.concatenate(ks), np.concatenate(ts)
     del hs, vs, ks, ts
     pair = _pair(h, before)
@@ -264,7 +315,7 @@ def _pairs(rows: Iterator, vocab: Vocabulary) -> tuple[Pairs | None, list[bytes]
     count = np.add.reduceat(train, first)
     names, at = np.unique(h[first], return_inverse=True)
     words = vocab.counts(names, np.bincount(at, weights=count, minlength=len(names)).astype(np.int64))
-    return Pairs(h, before, key, train, words[at][group], count[group], first), docs
+    return Pairs(h, before, key, train, words[at][group], count[group], first), other
 
 
 def score_corpus(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -277,53 +328,86 @@ def score_corpus(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     """
     spark = docs.sparkSession
     rows = tables.texts(docs)
-    buckets = tables.tasks_for(tables.text_bytes(rows), bucket_bytes)
-    words = count_words(rows, buckets)
+    size = tables.text_bytes(rows)
+    buckets, flush = tables.tasks_for(size, bucket_bytes), int(FLUSH * tables.grown(size))
+    words = count_words(rows, buckets, flush)
     vocab = vocabulary(words, buckets)
     if vocab is None:
         return _untrained(rows)
     # one exchange, read by each of the steps below
-    dealt = deal_pairs(rows, vocab, buckets).select("data").rdd
+    dealt = deal_pairs(rows, vocab, buckets, flush).select("data").rdd
 
-    def counts(part):
-        p, _ = _pairs(part, vocab)
+    def contexts(part):
+        """By context: how many of its seen pairs have counts 1 to K + 1, and more, and P of the words seen after it. Frequent pairs' counts go to bucket 0's table."""
+        p, other = _pairs(part, vocab)
+        v, count, mass = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if p:
-            yield of_counts(p.pair_count[p.first])
-
-    of = dealt.mapPartitions(counts).treeReduce(lambda x, y: x + y)
-    left = discounts(of)
+            k = p.first[p.pair_count[p.first] > 0]
+            v, count, mass = [p.before[k]], [p.pair_count[k]], [discounted(p.word_count[k], vocab.left)]
+        if got := [packed.unpack(x) for x in other[b"C"]]:
+            pair, n = _summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1].astype(np.int64) for g in got]))
+            at = np.searchsorted(vocab.pairs, pair)
+            v.append(vocab.pair_before[at])
+            count.append(n)
+            mass.append(discounted(pair_words[at], vocab.left))
+            yield int(packed.bucket_of(pair[:1], buckets)[0]), bytearray(b"C" + packed.pack(pair, n))
+        v, count = np.concatenate(v), np.concatenate(count)
+        if len(v):
+            own = np.minimum(count, K + 2)
+            v, mass, *types = _summed(v, np.concatenate(mass), *[(own == r).astype(np.int64) for r in range(1, K + 3)])
+            for b, s in _split(v, packed.bucket_of(v, buckets), buckets):
+                yield b, bytearray(b"V" + packed.pack(v[s], mass[s], *[t[s] for t in types]))
+
+    pair_words = vocab.counts(vocab.pair_word, np.zeros(len(vocab.pairs), np.int64))
+    partial = spark.createDataFrame(dealt.mapPartitions(contexts), "bucket int, data binary", verifySchema=False)
 
-    def contexts(part):
-        """By context: how much its seen pairs keep after discounts, and P of the words seen after it."""
-        p, _ = _pairs(part, vocab)
-        if not p:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x.as_py() for b in batches for x in b["data"]]
+        if not got:
             return
-        k = p.first[p.pair_count[p.first] > 0]
-        v, lost, mass = _summed(p.before[k], p.pair_count[k] - discounted(p.pair_count[k], left), discounted(p.word_count[k], vocab.left))
-        for b, s in _split(v, packed.bucket_of(v, buckets), buckets):
-            yield b, bytearray(packed.pack(v[s], lost[s], mass[s]))
-
-    partial = spark.createDataFrame(dealt.mapPartitions(contexts), "bucket int, data binary", verifySchema=False)
+        rows = [packed.unpack(x[1:]) for x in got if x[:1] == b"V"]
+        hot = [packed.unpack(x[1:]) for x in got if x[:1] == b"C"]
+        v, mass, *types = _summed(np.concatenate([np.zeros(0, U), *[g[0] for g in rows]]), *[np.concatenate([np.zeros(0, t), *[g[k].view(t) if t is np.float64 else g[k] for g in rows]]).astype(t) for k, t in enumerate([np.float64] + [np.int64] * (K + 2), 1)])
+        pair, n = (np.concatenate([np.zeros(0, U), *[g[k] for g in hot]]) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([[int(t.sum()) for t in types]], pa.list_(pa.int64())), pa.array([packed.pack(v, mass, *types)], pa.binary()), pa.array([pair.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], ["types", "data", "pair", "n"])
+
+    kept = tables.keep(tables.deal(partial, buckets, "bucket").mapInArrow(merged, "types array<long>, data binary, pair binary, n binary"))
+    totals = kept.select("types", "pair", "n").collect()  # a row for each bucket, and the frequent pairs
+    left = discounts(np.sum([r["types"] for r in totals], axis=0)[: K + 1])
+    hot_count = np.zeros(len(vocab.pairs), np.int64)
+    for r in totals:
+        hot_count[np.searchsorted(vocab.pairs, np.frombuffer(r["pair"], U))] = np.frombuffer(r["n"], np.int64)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """log10 of a(v) c(v), by context."""
-        got = [packed.unpack(x.as_py()) for b in batches for x in b["data"]]
-        if not got:
-            return
-        v, lost, mass = _summed(np.concatenate([g[0] for g in got]), *[np.concatenate([g[k].view(np.float64) for g in got]) for k in (1, 2)])
-        back = np.log10(lost) - np.log10(np.maximum(1 - mass / vocab.tokens, vocab.rest / vocab.tokens))
-        _, wide = vocab.find(v)
-        wide |= v == BEGIN
-        yield pa.RecordBatch.from_arrays([pa.array([int(packed.bucket_of(v[:1], buckets)[0])], pa.int32()), pa.array([packed.pack(v, back)], pa.binary()), pa.array([v[wide].tobytes()], pa.binary()), pa.array([back[wide].tobytes()], pa.binary())], ["bucket", "data", "h", "back"])
-
-    weights = tables.keep(tables.deal(partial, buckets, "bucket").mapInArrow(weigh, "bucket int, data binary, h binary, back binary"))
-    top = weights.select("h", "back").collect()  # the words that are spread
+        for b in batches:
+            for x in b["data"]:
+                v, mass, *types = packed.unpack(x.as_py())
+                if not len(v):
+                    continue
+                lost = lost_of(np.stack(types, axis=1).astype(np.float64), left)
+                back = np.log10(lost) - np.log10(np.maximum(1 - mass.view(np.float64) / vocab.tokens, vocab.rest / vocab.tokens))
+                wide = vocab.find(v)[1] | (v == BEGIN) | np.isin(v, vocab.pair_before)
+                yield pa.RecordBatch.from_arrays([pa.array([int(packed.bucket_of(v[:1], buckets)[0])], pa.int32()), pa.array([packed.pack(v, back)], pa.binary()), pa.array([v[wide].tobytes()], pa.binary()), pa.array([back[wide].tobytes()], pa.binary())], ["bucket", "data", "h", "back"])
+
+    weights = tables.keep(kept.select("data").mapInArrow(weigh, "bucket int, data binary, h binary, back binary"))
+    top = weights.select("h", "back").collect()  # the words that are spread, and the contexts of frequent pairs
     top_h = np.concatenate([np.frombuffer(r["h"], U) for r in top])
     top_back = np.concatenate([np.frombuffer(r["back"], np.float64) for r in top])
     order = np.argsort(top_h)
     top_h, top_back = top_h[order], top_back[order]
     scale = np.log10(vocab.tokens + 0.5 * (vocab.types + 1))
 
+    def values(word_count, pair_count, before, end):
+        """What tokens add to their documents' base, and to their score but for weights in other buckets; each takes off log c(v) as the next one's context."""
+        value = np.where(pair_count > 0, np.log10(np.maximum(discounted(pair_count, left), 1e-300)), vocab.log_word(word_count))
+        value -= np.where((word_count > 0) & ~end, np.log10(np.maximum(word_count, 1)), 0.0)
+        value -= np.where(before == BEGIN, np.log10(vocab.documents), 0.0)
+        at = np.minimum(np.searchsorted(top_h, before), len(top_h) - 1)
+        return np.log10(word_count + 0.5) - scale, value + np.where((pair_count == 0) & (top_h[at] == before), top_back[at], 0.0)
+
+    hot_base, hot_value = values(pair_words, hot_count, vocab.pair_before, vocab.pair_word == END)
+
     def unseen(part):
         """Contexts of pairs not seen in training, to the bucket of the context."""
         p, _ = _pairs(part, vocab)
@@ -353,17 +437,16 @@ def score_corpus(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
 
     def seen(part):
         """What words and pairs add to their documents, and -log c(v) for each v that is a context."""
-        p, docs = _pairs(part, vocab)
-        for d in docs:
+        p, other = _pairs(part, vocab)
+        for d in other[b"D"]:
             yield packed_bucket(d, buckets), bytearray(b"D" + d)
+        for x in other[b"H"]:
+            key, name, n = packed.unpack(x)
+            for b, data in _by_document(key, n * hot_base[name], n * hot_value[name], n * (pair_words[name] > 0).astype(np.int64), buckets):
+                yield b, bytearray(data)
         if not p:
             return
-        base = np.log10(p.word_count + 0.5) - scale
-        value = np.where(p.pair_count > 0, np.log10(np.maximum(discounted(p.pair_count, left), 1e-300)), vocab.log_word(p.word_count))
-        value -= np.where((p.word_count > 0) & (p.h != END), np.log10(np.maximum(p.word_count, 1)), 0.0)
-        value -= np.where(p.before == BEGIN, np.log10(vocab.documents), 0.0)
-        at = np.minimum(np.searchsorted(top_h, p.before), len(top_h) - 1)
-        value += np.where((p.pair_count == 0) & (top_h[at] == p.before), top_back[at], 0.0)
+        base, value = values(p.word_count, p.pair_count, p.before, p.h == END)
         for b, data in _by_document(p.key, base, value, (p.word_count > 0).astype(np.int64), buckets):
             yield b, bytearray(data)
 
@@ -412,7 +495,7 @@ def _by_document(key: np.ndarray, base: np.ndarray, value: np.ndarray, known: np
 
 def _untrained(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, ids, out, size in _tokens(batches, True):
+        for _, _, _, ids, out, size in _tokens(batches, FLUSH):
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.int64()), pa.array(out), pa.array(size.astype(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n)), pa.array(np.zeros(n))], OUT)
 
