@@ -407,10 +407,19 @@ def test_repeats(docs, none, monkeypatch, n):
         monkeypatch.setattr(repeat_automata, "FLUSH", flush)
         got = repeat_automata.remove_repeats(docs, n, size).collect()
         assert sorted((r["doc_id"], r["n_words"], r["n_removed"], " ".join(WORD.findall(r["text"]))) for r in got) == kept(plain(), n)
-        assert {r["doc_id"]: r["lang"] for r in got}[0] == "en"
+        assert {r["doc_id"]: r["lang"] for r in got}[0] == "en" and {r["shard"] for r in got if r["doc_id"] == 3} == {1}
     assert repeat_automata.remove_repeats(none).collect() == []
 
 
+@pytest.mark.parametrize("mask", [0, 0xE000000000000000])
+def test_windows_with_equal_hashes(docs, mask):
+    """The first hash forced to be the same for many windows: the second tells them apart."""
+    for n, size in ((4, 1 << 30), (5, 3000)):
+        got = repeat_automata.remove_repeats(docs.withColumn("found", docs.doc_id), n, size, mask).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"], " ".join(WORD.findall(r["text"]))) for r in got) == kept([(d, x) for d, x in plain()], n)
+        assert all(r["found"] == r["doc_id"] for r in got)
+
+
 def test_repeats_random(spark):
     r = random.Random(8)
     rows = [(i, " ".join(r.choice("ab") for _ in range(r.randint(0, 40)))) for i in range(60)]

@@ -12,8 +12,10 @@
    through it, and each hit is extended in both directions as far as document and
    passage agree. An extended hit of a window or more is an occurrence.
 
-The text of an occurrence is cut out. Windows are compared by 64-bit hashes of their
-words; two of n windows collide with a chance of about n^2 / 2^65.
+The text of an occurrence is cut out. Windows are compared by 96 bits, two hashes of their
+words made independently; some two of n different windows collide with a chance of about n^2 / 2^97.
+Streaming every document through every shard's automaton would cost shards times corpus;
+instead a document meets the one automaton that holds all recurring passages found in it.
 """
 
 from __future__ import annotations
@@ -28,54 +30,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed, tables
-from .wordscan import U, buffers, grams, powers, runs, scan
+from .wordscan import U, buffers, grams, mix, powers, runs, scan
 
 WINDOW = 35
-#: Windows hashed at a time, and bytes of text in a shard.
+#: Windows hashed at a time, and bytes of text in a shard; both grow with the root of large inputs, so rows between tasks grow with the input.
 FLUSH, SHARD_BYTES = 1 << 19, 3 << 20
 #: Letters that stand for a word's number in an automaton; more words in a shard share letters, and the extension tells them apart.
 BASE, DIGITS = 128, 3
-_STEP = 0xD6E8FEB86659FD93 | 1
+_STEP, _OTHER = 0xD6E8FEB86659FD93 | 1, U(0xA0761D6478BD642F)
+FULL = (1 << 64) - 1
 
 
-def _flush(h: np.ndarray, shard: np.ndarray, shards: int, buckets: int) -> Iterator[tuple[int, bool, bytes]]:
-    """Rows (to, report, data): a bucket's hashes with shards (none: no answer is due), or reports, by way of any bucket."""
+def window_hashes(word_hash: np.ndarray, words, n: int, mask: int = FULL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window, 64 bits (those of the mask), 32 others from words hashed anew, and its first word."""
+    h, at = grams(word_hash, words, n)
+    more, _ = grams(mix(word_hash ^ _OTHER), words, n)
+    return h & U(mask), (more >> U(32)).astype(np.uint32), at
+
+
+def _sorted(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of both hashes, and where a new window begins."""
     order = np.argsort(h)
-    h, shard = h[order], shard[order]
-    new = np.r_[True, h[1:] != h[:-1]]
+    a, b = h[order], g[order]
+    same, equal = a[1:] == a[:-1], b[1:] == b[:-1]
+    if (same & ~equal).any():  # seldom: different windows with the same first hash
+        order = np.lexsort((g, h))
+        a, b = h[order], g[order]
+        same, equal = a[1:] == a[:-1], b[1:] == b[:-1]
+    return order, np.r_[True, ~(same & equal)][: len(h)]
+
+
+def _flush(h: np.ndarray, g: np.ndarray, shard: np.ndarray, shards: int, buckets: int) -> Iterator[tuple[int, bool, bytes]]:
+    """Rows (to, report, data): a bucket's hashes with shards (none: no answer is due), or reports, by way of any bucket."""
+    order, new = _sorted(h, g)
+    h, g, shard = h[order], g[order], shard[order]
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(h)])
     asks = np.where(count == 1, shard[first], shards)
-    own = h[first]
-    bucket = packed.bucket_of(own, buckets)
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        if cut[b] < cut[b + 1]:
-            yield b, False, packed.pack(own[cut[b] : cut[b + 1]], asks[cut[b] : cut[b + 1]])
+    own, more = h[first], g[first]
+    cut = np.searchsorted(packed.bucket_of(own, buckets), np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        s = slice(cut[b], cut[b + 1])
+        yield b, False, packed.pack(own[s], more[s], asks[s])
     often = np.repeat(count > 1, count)
-    for s, data in _reports(h[often], shard[often]):
+    for s, data in _reports(h[often], g[often], shard[often]):
         yield s % buckets, True, data
 
 
-def _reports(h: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Distinct hashes for each shard; the data carries the shard in its first bytes."""
+def _reports(h: np.ndarray, g: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Distinct windows for each shard; the data carries the shard in its first bytes."""
     if not len(h):
         return
-    order = np.lexsort((h, shard))
-    h, shard = h[order], shard[order]
+    order = np.lexsort((g, h, shard))
+    h, g, shard = h[order], g[order], shard[order]
     start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     for a, b in zip(start, [*start[1:], len(h)], strict=True):
-        own = h[a:b]
-        own = own[np.r_[True, own[1:] != own[:-1]]]
-        yield int(shard[a]), int(shard[a]).to_bytes(8, "little") + packed.pack(own)
+        own, more = h[a:b], g[a:b]
+        new = np.r_[True, (own[1:] != own[:-1]) | (more[1:] != more[:-1])]
+        yield int(shard[a]), int(shard[a]).to_bytes(8, "little") + packed.pack(own[new], more[new])
 
 
-def _windows(n: int, shards: int, buckets: int):
+def _windows(n: int, shards: int, buckets: int, flush: int, mask: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ss, total = [], [], 0
+        hs, gs, ss, total = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            rows = list(_flush(np.concatenate(hs), np.concatenate(ss), shards, buckets))
+            rows = list(_flush(np.concatenate(hs), np.concatenate(gs), np.concatenate(ss), shards, buckets))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "report", "data"])
 
         for batch in batches:
@@ -83,13 +103,14 @@ def _windows(n: int, shards: int, buckets: int):
             shard = batch["shard"].to_numpy(zero_copy_only=False)
             for i, j in runs(bounds):
                 w = scan(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                h, at = grams(w.hashes(), w, n)
+                h, g, at = window_hashes(w.hashes(), w, n, mask)
                 hs.append(h)
+                gs.append(g)
                 ss.append(shard[i + w.doc[at]])
                 total += len(h)
-                if total >= FLUSH:
+                if total >= flush:
                     yield out()
-                    hs, ss, total = [], [], 0
+                    hs, gs, ss, total = [], [], [], 0
         if total:
             yield out()
 
@@ -100,7 +121,7 @@ def _meet(shards: int):
     """Of a bucket's rows: reports pass through, and windows of several rows are reported to those who ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, asks = [], []
+        hs, gs, asks = [], [], []
         for batch in batches:
             to, passed = [], []
             for report, data in zip(batch["report"].to_pylist(), batch["data"].to_pylist(), strict=True):
@@ -108,40 +129,48 @@ def _meet(shards: int):
                     to.append(int.from_bytes(data[:8], "little"))
                     passed.append(data)
                 else:
-                    h, s = packed.unpack(data)
+                    h, g, s = packed.unpack(data)
                     hs.append(h)
+                    gs.append(g.astype(np.uint32))
                     asks.append(s.astype(np.int64))
             if to:
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(passed, pa.binary())], ["shard", "found"])
         if hs:
-            h, s = np.concatenate(hs), np.concatenate(asks)
-            order = np.argsort(h)
-            h, s = h[order], s[order]
-            same = h[1:] == h[:-1]
-            due = (np.r_[False, same] | np.r_[same, False]) & (s < shards)
-            rows = list(_reports(h[due], s[due]))
+            h, g, s = np.concatenate(hs), np.concatenate(gs), np.concatenate(asks)
+            order, new = _sorted(h, g)
+            h, g, s = h[order], g[order], s[order]
+            due = ~(new & np.r_[new[1:], True]) & (s < shards)
+            rows = list(_reports(h[due], g[due], s[due]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "found"])
 
     return run
 
 
-def covered(word_hash: np.ndarray, first: np.ndarray, window_hash: np.ndarray, at: np.ndarray, recurring: np.ndarray, n: int = WINDOW) -> np.ndarray:
+def _among(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarray) -> np.ndarray:
+    """Which windows are among the known ones, whose first hashes ascend."""
+    out = np.zeros(len(h), bool)
+    if not len(known_h):
+        return out
+    first = np.flatnonzero(np.r_[True, known_h[1:] != known_h[:-1]])
+    at = np.searchsorted(known_h, h)
+    for step in range(int(np.diff(np.r_[first, len(known_h)]).max())):
+        k = np.minimum(at + step, len(known_h) - 1)
+        out |= (known_h[k] == h) & (known_g[k] == g)
+    return out
+
+
+def covered(word_hash: np.ndarray, first: np.ndarray, name: np.ndarray, at: np.ndarray, n: int = WINDOW) -> np.ndarray:
     """Which words of a shard lie in an occurrence of a recurring window.
 
-    first: of each document's words, one more than documents; at: first words of the
-    windows; recurring: ascending hashes.
+    first: of each document's words, one more than documents; name, at: hashes and first
+    words of the windows that recur.
     """
     count = len(word_hash)
-    out = np.zeros(count, bool)
-    if not len(recurring) or not len(at):
-        return out
+    if not len(at):
+        return np.zeros(count, bool)
     tile = (n + 1) // 2
-    place = np.minimum(np.searchsorted(recurring, window_hash), len(recurring) - 1)
-    hit = np.flatnonzero(recurring[place] == window_hash)
-    if not len(hit):
-        return out
-    _, one = np.unique(window_hash[hit], return_index=True)
-    start = np.sort(at[hit[one]])
+    _, one = np.unique(name, return_index=True)
+    start = np.sort(at[one])
     # passages: runs of consecutive first places
     split = np.flatnonzero(np.diff(start) != 1) + 1
     begin, stop = start[np.r_[0, split]], start[np.r_[split - 1, len(start) - 1]] + n
@@ -207,17 +236,19 @@ def covered(word_hash: np.ndarray, first: np.ndarray, window_hash: np.ndarray, a
     return np.cumsum(cover[:-1]) > 0
 
 
-def _cut(n: int, names: list[str]):
+def _cut(n: int, names: list[str], mask: int):
     """A shard's documents and reports: documents without their occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, found = [], [np.zeros(0, U)]
+        docs, found = [], []
         for batch in batches:
             data = batch["found"]
             is_doc = np.asarray(data.is_null().to_numpy(zero_copy_only=False))
-            found += [packed.unpack(x[8:])[0] for x in data.to_pylist() if x is not None]
+            found += [packed.unpack(x[8:]) for x in data.to_pylist() if x is not None]
             docs.append(batch.select(names).filter(pa.array(is_doc)))
-        recurring = np.unique(np.concatenate(found))
+        known_h, known_g = np.concatenate([np.zeros(0, U), *[f[0] for f in found]]), np.concatenate([np.zeros(0, np.uint32), *[f[1].astype(np.uint32) for f in found]])
+        order, new = _sorted(known_h, known_g)
+        known_h, known_g = known_h[order][new], known_g[order][new]
         rows = pa.Table.from_batches(docs) if docs else None
         if rows is None or not len(rows):
             return
@@ -227,16 +258,17 @@ def _cut(n: int, names: list[str]):
         for i, j in runs(bounds):
             w = scan(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             h = w.hashes()
-            g, at = grams(h, w, n)
+            g, more, at = window_hashes(h, w, n, mask)
+            hit = _among(g, more, known_h, known_g)
             hs.append(h)
-            gs.append(g)
-            ats.append(at + words)
+            gs.append(g[hit] ^ mix(more[hit].astype(U)))
+            ats.append(at[hit] + words)
             firsts.append(w.first[1:] + words)
             spans.append(w.start + bounds[i])
             words += len(h)
         first = np.concatenate(firsts)
         start = np.concatenate(spans)
-        gone = covered(np.concatenate(hs), first, np.concatenate(gs), np.concatenate(ats), recurring, n)
+        gone = covered(np.concatenate(hs), first, np.concatenate(gs), np.concatenate(ats), n)
         removed = np.concatenate([[0], np.cumsum(gone)])[first]
         removed = np.diff(removed)
         texts, raw = [], data.tobytes()
@@ -262,25 +294,28 @@ def _cut(n: int, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = WINDOW, task_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = WINDOW, task_bytes: int = SHARD_BYTES, mask: int = FULL) -> DataFrame:
     """All columns of docs, text without the words of recurring windows, n_words before and n_removed behind them.
 
     What stays keeps its own white space. A null text becomes empty; documents of fewer
     than n words, and those where nothing recurs, keep their text as it is. Rows that
-    repeat are copies of each other. Columns of docs named like those made here are
-    replaced. An empty table gives no rows.
+    repeat are copies of each other. Columns of docs named n_words or n_removed are
+    replaced, others may have any names. An empty table gives no rows. mask: the bits
+    used of windows' first hashes, for tests.
     """
-    docs = docs.drop("n_words", "n_removed", "found", "shard")
-    names = docs.columns
-    docs = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    size = tables.text_bytes(docs)
+    docs = docs.drop("n_words", "n_removed")
+    columns = docs.columns
+    rows = tables.apart(docs).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    names = rows.columns
+    size = tables.text_bytes(rows)
     shards = buckets = tables.tasks_for(size, task_bytes)
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    asked = docs.select("text", "shard").mapInArrow(_windows(n, shards, buckets), "bucket int, report boolean, data binary")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
+    asked = rows.select("text", "shard").mapInArrow(_windows(n, shards, buckets, int(FLUSH * tables.grown(size)), mask), "bucket int, report boolean, data binary")
     reports = tables.deal(asked, buckets, "bucket").select("report", "data").mapInArrow(_meet(shards), "shard int, found binary")
-    both = docs.withColumn("found", F.lit(None).cast("binary")).unionByName(reports, allowMissingColumns=True)
-    out = tables.with_columns(docs.select(names).schema, [("n_words", "long"), ("n_removed", "long")])
-    return tables.deal(both, shards, "shard").mapInArrow(_cut(n, names), out)
+    both = rows.withColumn("found", F.lit(None).cast("binary")).unionByName(reports, allowMissingColumns=True)
+    out = tables.with_columns(rows.select(names).schema, [("n_words", "long"), ("n_removed", "long")])
+    made = tables.deal(both, shards, "shard").mapInArrow(_cut(n, names, mask), out)
+    return tables.together(made, columns, "n_words", "n_removed")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,9 +32,9 @@ def apart(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("#")).alias("rest"))
 
 
-def together(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns that `apart` put away, in their order."""
-    return rows.select([F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in columns])
+def together(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns that `apart` put away, in their order, and more that were made since."""
+    return rows.select([F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in columns] + list(more))
 
 
 def text_bytes(docs: DataFrame) -> int:
