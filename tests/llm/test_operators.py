@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from textloom.llm import (
-    components, curve_packing, dom_marginals, katz_backoff, labelled_pages, packed, piece_backtracking, pu_quality, repeat_automata, rule_forest, simhash_groups, subwords, token_files, weighted_fingerprints as wf, wordscan,
+    components, curve_packing, dom_marginals, katz_backoff, labelled_pages, packed, piece_backtracking, pu_quality, repeat_automata, rule_forest, simhash_groups, subwords, tables, token_files, weighted_fingerprints as wf, wordscan,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,6 +92,23 @@ def test_compare_with_next(docs, none):
             assert (r["doc_id"], r["n_chars"]) == (d, len(x))
             assert r["edited_sha256"] == hashlib.sha256((x[: len(x) - cut] + y[:cut]).encode()).hexdigest()
             assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    # likenesses are those of the texts' weighted sets of five-word runs, but for the error of 128 slots
+    def weights(x):
+        w = WORD.findall(x)
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    def jaccard(x, y):
+        a, b = weights(x), weights(y)
+        return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(40)}" for _ in range(400)]  # runs repeat now and then
+    some = [" ".join(w if rng.random() > 0.01 * i else f"x{rng.random()}" for w in base) for i in range(40)]
+    got2 = sorted(wf.compare_with_next(docs.sparkSession.createDataFrame(list(enumerate(some)), "doc_id long, text string"), 5000).collect())
+    off = []
+    for r, x, y in zip(got2, some, some[1:] + some[:1], strict=True):
+        off += [r["near_next"] - jaccard(x, y), r["near_edited"] - jaccard(x, x[: len(x) - len(x) // 4] + y[: len(x) // 4])]
+    assert abs(np.mean(off)) < 0.02 and max(map(abs, off)) < 0.2, off
     by = {}
     for r in got:
         by.setdefault(dict(rows).get(r["doc_id"]), set()).add(r["fingerprint"])
@@ -211,6 +228,10 @@ def test_token_files(docs, none):
         at += r["n_tokens"]
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted(d for d, _ in plain())
     assert token_files.round_trip(none, P.path("word_bpe_49k.json")).collect() == []
+    # a folder says all that its reader needs
+    path = f"{tables.folder(docs.sparkSession)}/files-of-ids"
+    token_files.write_ids(token_files.tokenised(docs, P.path("word_bpe_49k.json"), False, 2), path, 3)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_ids(docs.sparkSession, path).collect()) == want
 
 
 def test_hilbert_is_a_walk():
@@ -220,6 +241,62 @@ def test_hilbert_is_a_walk():
     assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_ranges_of_even_weight(spark):
+    """A key with a third of the rows, and rows of very different weights."""
+    rng = random.Random(1)
+    rows = [(7 if i % 3 == 0 else rng.randrange(1000), i, 1 if rng.random() < 0.9 else 50) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key long, tie long, weight long")
+    cuts = tables.ranges(df, 12)
+    to = cuts.of(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    load = np.bincount(to, weights=[r[2] for r in rows], minlength=len(cuts))
+    assert len(cuts) == 12 and load.max() < 2 * load.mean()
+    ordered = [r for _, r in sorted(zip(to.tolist(), rows), key=lambda x: (x[0], x[1]))]
+    assert ordered == sorted(rows)
+    got = tables.by_range(df, 12).rdd.glom().collect()
+    assert [tuple(r)[:2] for part in got for r in part] == sorted(r[:2] for r in rows)
+    assert len(tables.ranges(df.limit(0), 5)) == 1
+
+
+def test_neighbours_on_the_curve_are_alike():
+    rng = random.Random(2)
+    topics = [[f"t{k}w{i}" for i in range(30)] for k in range(6)]
+    kind = [rng.randrange(6) for _ in range(600)]
+    texts = [" ".join(rng.choice(topics[k]) if rng.random() < 0.7 else f"common{rng.randrange(50)}" for _ in range(rng.choice([40, 200, 1000]))) for k in kind]
+    order = np.argsort(curve_packing.hilbert_key(curve_packing.cells(pa.array(texts))), kind="stable")
+    along = np.array(kind)[order]
+    same = lambda x: float(np.mean(x[1:] == x[:-1]))
+    assert same(along) > 0.6 > 3 * same(np.array(kind))
+
+
+def test_stretches_with_equal_hashes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    weak = lambda data, start, end: wordscan.span_hashes(data, start, end) & np.uint64(3)
+    monkeypatch.setattr(subwords, "span_hashes", weak)
+    for file, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        tok = Tokenizer.from_file(P.path(file))
+        made = subwords.byte_level.__wrapped__(P.path(file), spaced)
+        texts = [t or "" for t in TEXTS if t is not LONG] + ["one", "two", "one two"]
+        got = [ids[a:b].tolist() for _, ids, at in made.batches(pa.array(texts)) for a, b in itertools.pairwise(at.tolist())]
+        assert got == [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_without_spaces():
+    import time
+
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(3)
+    for letters, n in (("日本語中文字", 40_000), ("ABCDabcd0123+/", 400_000)):
+        text = "".join(r.choice(letters) for _ in range(n))
+        made = piece_backtracking.PieceEncoder(path)
+        start = time.time()
+        assert made.encode("▁" + text) == sp.encode(text)
+        assert time.time() - start < 20
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 

@@ -1,9 +1,9 @@
 """Packing of documents into training sequences along a Hilbert curve.
 
 Each word of a document adds a vector of signs that its hash gives; the sum over the
-root of the word count, a random projection of the hashed document vector to
-DIMENSIONS numbers, is squashed to a grid cell, whose Hilbert index is the document's
-key. Documents are range-sorted by (key, doc_id) and laid end to end; the stream of each range is
+word count, a random projection of the hashed document vector to DIMENSIONS numbers, is
+squashed to a grid cell, whose Hilbert index is the document's key. Documents are
+range-sorted by (key, doc_id), in ranges of about as many ids each, and laid end to end; the stream of each range is
 cut into sequences of SEQUENCE ids. The rest of a range is cut into powers of two, so no
 sequence needs padding.
 """
@@ -24,7 +24,7 @@ from .subwords import byte_level
 from .token_files import squeeze, unsqueeze
 from .wordscan import U, buffers, mix, runs, scan
 
-SEQUENCE, END_ID, DIMENSIONS, BITS = 2048, 1, 3, 12
+SEQUENCE, END_ID, DIMENSIONS, BITS, SCALE = 2048, 1, 3, 12, 8
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -64,12 +64,12 @@ def cells(arr: pa.Array, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.n
         h = mix(w.hashes())
         for d in range(dimensions):
             sign = (h >> U(d) & U(1)).astype(np.float64) * 2 - 1
-            out[i:j, d] = np.bincount(w.doc, weights=sign, minlength=j - i) / np.sqrt(np.maximum(w.counts, 1))
-    return np.minimum((1 / (1 + np.exp(-out / 2)) * (1 << bits)).astype(np.int64), (1 << bits) - 1)
+            out[i:j, d] = np.bincount(w.doc, weights=sign, minlength=j - i) / np.maximum(w.counts, 1)
+    return np.minimum((1 / (1 + np.exp(-out * SCALE)) * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
 
 def keyed(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, Hilbert key, and squeezed ids of each document."""
+    """doc_id, Hilbert key, number of ids, and squeezed ids of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = byte_level(path, True)
@@ -77,9 +77,9 @@ def keyed(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             key = hilbert_key(cells(b["text"]))
             for i, ids, at in made.batches(b["text"]):
                 out = [squeeze(np.append(ids[x:y], np.uint32(end_id))) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, len(out)), pa.array(key[i : i + len(out)]), pa.array(out, pa.binary())], ["doc_id", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, len(out)), pa.array(key[i : i + len(out)]), pa.array(np.diff(at).astype(np.int64) + 1), pa.array(out, pa.binary())], ["doc_id", "key", "weight", "ids"])
 
-    return tables.texts(docs).mapInArrow(run, "doc_id long, key long, ids binary")
+    return tables.texts(docs).mapInArrow(run, "doc_id long, key long, weight long, ids binary")
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -139,8 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, task_bytes: int
     """
     parts = tables.tasks_for(tables.text_bytes(tables.texts(docs)), task_bytes)
     kept = tables.keep(keyed(docs, tokenizer))
-    order = ["key", F.asc_nulls_first("doc_id")]
-    dealt = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
+    dealt = tables.by_range(kept.withColumn("tie", F.coalesce("doc_id", F.lit(tables.LOW))), parts, "ids")
     return dealt.select("doc_id", "ids").mapInArrow(_pack(size), PIECE)
 
 

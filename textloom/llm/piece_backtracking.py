@@ -3,8 +3,8 @@
 Merge-type encoding picks, again and again, the adjacent pair whose joined piece has
 the best score. The same result is found from left to right: at each place the longest
 piece that an Aho-Corasick automaton matches is tried first, then shorter ones. A piece may
-follow another only if merging their joined text anew gives these two pieces, and a
-bitfield remembers places from which no continuation was found, so that each is given
+follow another only if merging their joined text anew gives these two pieces, and a field
+of bits, a byte each so that it is set in place, remembers places from which no continuation was found, so that each is given
 up once. Only pieces that merging their own text yields take part.
 
 Characters without a piece split a text; they become byte pieces. Stretches are cut
@@ -94,7 +94,7 @@ class PieceEncoder:
             matches[end - hit[0] + 1].append(hit)  # shorter ones first
         if matches[0][-1][0] == n:
             return [matches[0][-1][1]]
-        free = (1 << (n + 1)) - 1
+        free = bytearray(b"\1") * (n + 1)
         out: list[int] = []
         back: list[int] = []  # how many of its place's matches each piece leaves untried
         at, left = 0, len(matches[0])
@@ -104,14 +104,14 @@ class PieceEncoder:
             while left:
                 left -= 1
                 size, i = here[left]
-                if free >> (at + size) & 1 and (last < 0 or self.follows(last, i)):
+                if free[at + size] and (last < 0 or self.follows(last, i)):
                     out.append(i)
                     back.append(left)
                     at += size
                     left = len(matches[at]) if at < n else 0
                     break
             else:
-                free &= ~(1 << at)
+                free[at] = 0
                 i = out.pop()
                 at -= len(self.text[i])
                 left = back.pop()

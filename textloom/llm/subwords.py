@@ -52,8 +52,20 @@ def _from_starts(found: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tup
     return start, np.append(start[1:], len(data)) if len(start) else start
 
 
+def _ends_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, first and last eight bytes of each stretch: all of it, if it has no more than sixteen."""
+    wide = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(wide) - 7,), "<u8", wide, 0, (1,))
+    size = end - start
+    short = U(8) * (U(8) - np.minimum(size, 8).astype(U))  # bits to drop
+    shift = np.minimum(short, U(63))
+    head = np.where(size > 0, eight[start + 8] << shift, U(0))
+    tail = np.where(size > 0, eight[end] >> shift, U(0))
+    return size, head, tail
+
+
 class Stretches:
-    """Ids of stretches by their hash.
+    """Ids of stretches by their hash; size and sixteen bytes of a stretch are compared as well, so that one of other text is never taken for it unless it is longer and its hash is the same.
 
     encode takes texts and their sizes in bytes, and gives parts: places in the texts, all
     ids of these texts in order, and how many each has.
@@ -65,9 +77,10 @@ class Stretches:
 
     def _clear(self) -> None:
         self.hash, self.entry = np.zeros(0, U), np.zeros(0, np.int64)
+        self.ends = np.zeros((3, 0), U)
         self.at, self.flat, self.used, self.entries = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0, 0
 
-    def _learn(self, h: np.ndarray, texts: list[str], bytes_of: np.ndarray) -> None:
+    def _learn(self, h: np.ndarray, ends: np.ndarray, texts: list[str], bytes_of: np.ndarray) -> None:
         places, ids, sizes = zip(*self.encode(texts, bytes_of), strict=True)
         flat, size = np.concatenate(ids), np.concatenate(sizes)
         if self.used + len(flat) > len(self.flat):
@@ -80,24 +93,41 @@ class Stretches:
         place = np.searchsorted(self.hash, h)
         self.entry = np.insert(self.entry, place, entry)
         self.hash = np.insert(self.hash, place, h)
+        self.ends = np.insert(self.ends, place, ends, axis=1)
         self.entries += len(h)
 
-    def _look(self, h: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1) if len(self.hash) else np.zeros(len(h), np.int64)
-        return np.where(self.hash[place] == h, self.entry[place], -1) if len(self.hash) else np.full(len(h), -1)
+    def _look(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each stretch; -1: unknown, -2: another text has its hash."""
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        place = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[place] != h, -1, np.where((self.ends[:, place] == ends).all(axis=0), self.entry[place], -2))
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of documents, and their bounds by document."""
         start, end = self.cut(data, bounds)
-        h, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        names = span_hashes(data, start, end)
+        h, first, back = np.unique(names, return_index=True, return_inverse=True)
+        ends = np.stack([x.astype(U) for x in _ends_of(data, start, end)])
         if self.entries + len(h) > REMEMBERED:
             self._clear()
-        new = np.flatnonzero(self._look(h) < 0)
+        found = self._look(h, ends[:, first])
+        if (ends != ends[:, first][:, back]).any() or (found == -2).any():  # equal hashes of different texts
+            raw = data.tobytes()
+            parts = self.encode([raw[x:y].decode() for x, y in zip(start.tolist(), end.tolist(), strict=True)], end - start)
+            own: list = [None] * len(start)
+            for place, ids, size in parts:
+                for k, x in zip(place.tolist(), np.split(ids, np.cumsum(size)[:-1]), strict=True):
+                    own[k] = x
+            before = np.cumsum([0, *map(len, own)])
+            return np.concatenate(own).astype(np.uint32), before[np.searchsorted(start, bounds)]
+        new = np.flatnonzero(found < 0)
         if len(new):
             raw = data.tobytes()
             a, b = start[first[new]], end[first[new]]
-            self._learn(h[new], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a)
-        entry = self._look(h)[back]
+            self._learn(h[new], ends[:, first[new]], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a)
+            found = self._look(h, ends[:, first])
+        entry = found[back]
         size = self.at[entry + 1] - self.at[entry]
         stop = np.cumsum(size)
         out = self.flat[np.repeat(self.at[entry] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]

@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,10 @@ from pyspark.sql.types import StructType
 TASK_BYTES = 8 << 20
 #: Bytes of text from which tasks grow with the root of the input.
 GROWS_FROM = 4 << 30
+#: Rows sampled for each range; the driver holds them as three numbers each.
+PER_RANGE = 32
+#: Stands before all numbers, for nulls.
+LOW = -(2**63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +62,55 @@ def deal(df: DataFrame, n: int, column: str) -> DataFrame:
     return df.repartitionById(n, F.col(column))
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Cuts of two numbers, in ascending order; each is a row of the input, and the first of its range."""
+
+    key: np.ndarray
+    tie: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.key) + 1
+
+    def of(self, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        return np.searchsorted(_ordered(self.key, self.tie), _ordered(key, tie), "right")
+
+
+def _ordered(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Pairs of numbers as bytes that sort alike."""
+    both = np.stack([key, tie], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return both.astype(">u8").view("S16").ravel()
+
+
+def ranges(rows: DataFrame, parts: int) -> Ranges:
+    """Ranges of about even weight over rows (key, tie, weight), all long, from a sample by weight: PER_RANGE rows for each range."""
+    total = rows.agg(F.sum("weight")).first()[0] or 0
+    if parts < 2 or not total:
+        return Ranges(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    each = total / (PER_RANGE * parts)
+    chance = F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 30)) / (1 << 30)
+    found = rows.where(chance < F.col("weight") / each).select("key", "tie", "weight").toArrow()
+    key, tie, weight = (found[c].to_numpy() for c in ("key", "tie", "weight"))
+    order = np.lexsort((tie, key))
+    key, tie, passed = key[order], tie[order], np.cumsum(np.maximum(weight[order], each))
+    at = np.searchsorted(passed, np.arange(1, parts) / parts * passed[-1]) if len(passed) else np.zeros(0, np.int64)
+    key, tie = key[at], tie[at]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])
+    return Ranges(key[new], tie[new])
+
+
+def by_range(rows: DataFrame, parts: int, *more: str) -> DataFrame:
+    """Rows with columns key, tie and weight dealt out by ranges of (key, tie) of about even weight, and sorted by both, and more, in each."""
+    cuts = ranges(rows.select("key", "tie", "weight"), parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cuts.of(b["key"].to_numpy(), b["tie"].to_numpy()), pa.int32())], [*b.schema.names, "range"])
+
+    return deal(rows.mapInArrow(run, with_columns(rows.schema, [("range", "integer")])), len(cuts), "range").drop("range").sortWithinPartitions("key", "tie", *more)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """A written copy in the shared folder of spark.checkpoint.dir; cuts the lineage, survives lost executors, goes when the session does."""
     spark = df.sparkSession

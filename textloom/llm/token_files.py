@@ -6,7 +6,8 @@ stream, in little-endian order. Files hold blocks of whole documents, as rows of
 Parquet, so that any store Spark reaches can hold them: part and block number, ids
 before the block in its part, document ids, lengths, control bytes and data bytes.
 The decoder looks the four lengths of each control byte up in a table and gathers the
-bytes with numpy.
+bytes with numpy. The id of each rank stands beside the blocks with the format's version,
+so a folder can be read without anything from the session that wrote it.
 """
 
 from __future__ import annotations
@@ -83,6 +84,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
 
+VERSION, _RANKS = 1, "version int, ids binary"
 _ROW = "part int, block int, first long, n long, doc_ids binary, sizes binary, control binary, data binary"
 
 
@@ -114,19 +116,24 @@ def _blocks(rank: np.ndarray):
     return run
 
 
-def write_ids(tokens: DataFrame, path: str, parts: int) -> np.ndarray:
-    """Files at path, documents in ascending doc_id order over the parts (null first). Returns the id of each rank."""
+def write_ids(tokens: DataFrame, path: str, parts: int) -> None:
+    """Blocks and ranks at path: rows (doc_id, n, ids) in ascending doc_id order over the parts (null first; ties by a hash of their ids, then by ids)."""
+    spark = tokens.sparkSession
     counted = tokens.mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
     ordered = np.array([i for _, i in sorted((-r["n"], r["id"]) for r in counted)], np.uint32)
     rank = np.zeros(int(ordered.max()) + 1 if len(ordered) else 1, np.uint32)
     rank[ordered] = np.arange(len(ordered), dtype=np.uint32)
-    dealt = tokens.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n", "ids")
-    dealt.select("doc_id", "ids").mapInArrow(_blocks(rank), _ROW).write.parquet(path)
-    return ordered
+    keyed = tokens.select("doc_id", "ids", F.coalesce("doc_id", F.lit(tables.LOW)).alias("key"), F.xxhash64("ids").alias("tie"), F.col("n").alias("weight"))
+    tables.by_range(keyed, parts, "ids").select("doc_id", "ids").mapInArrow(_blocks(rank), _ROW).write.parquet(f"{path}/blocks")
+    spark.createDataFrame([(VERSION, bytearray(ordered.astype("<u4").tobytes()))], _RANKS).coalesce(1).write.parquet(f"{path}/ranks")
 
 
-def read_ids(spark: SparkSession, path: str, ordered: np.ndarray) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, decoded from the files."""
+    version, raw = spark.read.schema(_RANKS).parquet(f"{path}/ranks").first()
+    if version != VERSION:
+        raise ValueError(f"token files of version {version}")
+    ordered = np.frombuffer(bytes(raw), "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +146,7 @@ def read_ids(spark: SparkSession, path: str, ordered: np.ndarray) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip((stop - size).tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, mask=known == 0), pa.array([r["part"]] * len(size), pa.int32()), pa.array(r["first"] + stop - size), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "part", "own", "n_tokens", "ids_crc32"])
 
-    files = spark.read.schema(_ROW).parquet(path)
+    files = spark.read.schema(_ROW).parquet(f"{path}/blocks")
     sums = files.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each part
     before, total = [], 0
     for r in sums:
@@ -151,12 +158,19 @@ def read_ids(spark: SparkSession, path: str, ordered: np.ndarray) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, task_bytes: int = tables.TASK_BYTES) -> DataFrame:
-    """Encodes, writes and reads back. Empty documents have their end id alone; an empty table gives no rows."""
+    """Encodes, writes and reads back: a row for each row of docs.
+
+    A null or empty text is its end id alone. Rows with a null doc_id stand first; rows that
+    repeat, or share a doc_id, are written each. A text of any length is one row, in one
+    block. An empty table gives no rows; columns other than doc_id and text are ignored.
+    """
     spark = docs.sparkSession
     parts = tables.tasks_for(tables.text_bytes(tables.texts(docs)), task_bytes)
     tokens = tables.keep(tokenised(docs, tokenizer, False, END_ID))
     path = f"{tables.folder(spark)}/tokens-{uuid.uuid4().hex}"
-    return read_ids(spark, path, write_ids(tokens, path, parts))
+    write_ids(tokens, path, parts)
+    tables.gone_at_end(spark, path)
+    return read_ids(spark, path)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

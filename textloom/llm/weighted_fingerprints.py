@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ from . import tables
 from .wordscan import U, buffers, grams, mix, runs, scan, uniform
 
 SLOTS, SHINGLE = 128, 5
-#: Larger inputs get longer ranges; a range is sorted with spilling and streamed.
-MOST_RANGES = 4096
 _G = 0x9E3779B97F4A7C15
 
 
@@ -180,28 +179,28 @@ def compare_with_next(docs: DataFrame, task_bytes: int = tables.TASK_BYTES) -> D
     """One row per document: its fingerprint, that of its edited text, and both likenesses.
 
     The next document is the one behind it by (doc_id, text), nulls first; after the
-    last comes the first. Texts are dealt once, into ranges of doc_id of even size; the
+    last comes the first. Texts are dealt once, into ranges of doc_id of even bytes; the
     first rows of a range also go to the range before it. A null text is empty; an
     empty text has a fingerprint of zeros; an empty table gives no rows; other columns
     are ignored.
     """
-    low = -(2**63)
-    rows = tables.texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(low)))
-    size, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    ranges = min(tables.tasks_for(size or 0, task_bytes), max(n, 1), MOST_RANGES)
-    cuts = sorted(set(rows.stat.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    cuts = [int(x) for x in cuts]
-    edge = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else None
-    part = F.size(F.filter(edge, lambda x: x <= F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part.cast("int"))
-    firsts = [(r["part"], r["low"]) for r in rows.groupBy("part").agg(F.min("key").alias("low")).orderBy("part").collect()]
-    before = {low_key: firsts[i - 1][0] for i, (_, low_key) in enumerate(firsts)}  # a row for each range
-    also = F.lit(None).cast("int")
-    if before:
-        also = F.create_map(*[F.lit(x).cast("long" if i % 2 == 0 else "int") for pair in before.items() for i, x in enumerate(pair)])[F.col("key")]
-    both = F.array_compact(F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("far")), F.when(also.isNotNull(), F.struct(also.alias("to"), F.lit(True).alias("far")))))
-    dealt = rows.select("doc_id", "text", F.explode(both).alias("at")).select("doc_id", "text", "at.to", "at.far")
-    ordered = tables.deal(dealt, len(cuts) + 1, "to").sortWithinPartitions("far", F.asc_nulls_first("doc_id"), "text")
+    rows = tables.texts(docs)
+    keyed = rows.select(F.coalesce("doc_id", F.lit(tables.LOW)).alias("key"), F.lit(0).cast("long").alias("tie"), (F.octet_length("text") + 1).cast("long").alias("weight"))
+    size, least = keyed.agg(F.sum("weight"), F.min("key")).first()
+    cuts = tables.ranges(keyed, tables.tasks_for(size or 0, task_bytes))
+    cuts = tables.Ranges(cuts.key[cuts.key > (least or 0)], cuts.tie[cuts.key > (least or 0)])
+    lows = np.r_[np.int64(least or 0), cuts.key]  # the first key of each range
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = pc.fill_null(b["doc_id"], tables.LOW).to_numpy()
+            to = cuts.of(key, np.zeros(len(key), np.int64))
+            first = np.flatnonzero(lows[to] == key)
+            for rows_of, at, far in ((b, to, False), (b.take(pa.array(first)), (to[first] - 1) % len(lows), True)):
+                yield pa.RecordBatch.from_arrays([rows_of["doc_id"], rows_of["text"], pa.array(at, pa.int32()), pa.array(np.full(len(at), far))], ["doc_id", "text", "to", "far"])
+
+    dealt_out = tables.deal(rows.mapInArrow(dealt, "doc_id long, text string, to int, far boolean"), len(lows), "to")
+    ordered = dealt_out.sortWithinPartitions("far", F.asc_nulls_first("doc_id"), "text")
     return ordered.select("doc_id", "text", "far").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
