@@ -453,6 +453,28 @@ def counts(t):
     return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover)]
 
 
+def test_forest_scores_by_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 7))
+    forest = rule_forest.grow(x, trees=20, rows=64)
+
+    def expected(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (sum(1 / i for i in range(1, n)) - (n - 1) / n)
+
+    seen = rng.choice(300, 40, replace=False)
+    for row in [*x[seen], np.full(7, 50.0)]:
+        lengths = []
+        for f, c, k, n in zip(forest.feature, forest.cut, forest.child, forest.length):
+            node, steps = 0, 0
+            while f[node] >= 0:
+                node, steps = k[node] + (row[f[node]] >= c[node]), steps + 1
+            assert steps <= 6 and n[node] >= steps  # 64 rows a tree
+            lengths.append(n[node])
+        assert abs(forest.score(row[None])[0] - 2 ** (-np.mean(lengths) / forest.norm)) < 1e-12
+    assert abs(forest.norm - expected(64)) < 0.02
+    assert forest.score(np.full((1, 7), 50.0))[0] > forest.score(x).max()  # what lies far out has short paths
+
+
 def test_rules(spark, docs, none):
     rows, labels = corpus(spark)
     forest = rule_forest.fit(spark, rows, labels)

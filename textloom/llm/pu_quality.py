@@ -1,7 +1,10 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are documents labelled good; the unlabelled set is a sample of all
-documents. With class prior p, logistic loss l and a linear model g, training
+documents that grows with their number. The class prior p is estimated from the unlabelled
+ones: a first fit on half of the positives tells how many of them, and of the other half,
+lie beyond a cut, and where no negatives are left the ratio of these shares is the prior.
+With logistic loss l and a linear model g, training
 minimises p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos[l(-g)]); while the second
 term is negative a step goes the other way, so that the fit cannot push it below zero.
 Features are rates of pairs of byte classes (small and capital letters, digits,
@@ -24,10 +27,10 @@ from pyspark.sql import functions as F
 from . import tables
 from .wordscan import buffers, runs, scan
 
-#: Rows of each training sample at most: labelled rows, and unlabelled rows.
-SAMPLE = 4_000
+#: Labelled rows used at most. Unlabelled rows used: so many up to GROWS_FROM documents, then more with the cube root of their number.
+SAMPLE, UNLABELLED, GROWS_FROM = 4_000, 8_000, 250_000
 FOLDS, HELD_OUT, ACCEPT, KEEP_GOOD = 4, 2, 0.7, 0.99
-EPOCHS, RATE, DECAY, BATCH, SEED = 40, 0.005, 1e-2, 512, 5
+EPOCHS, RATE, DECAY, BATCH, SEED = 40, 0.02, 1e-2, 512, 5
 _MARKS = b".,;:!?'\"-()[]{}/\\|#*$%&<>@=_+~^`"
 
 
@@ -90,11 +93,11 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS,
     mean, sd = both.mean(axis=0, dtype=np.float64), both.std(axis=0, dtype=np.float64)
     unit = np.where(sd > 1e-4, 1 / np.maximum(sd, 1e-4), 0.0)
     live = np.flatnonzero(unit)
-    p, u = (np.clip((x[:, live] - mean[live]) * unit[live], -8, 8) for x in (pos, unl))
+    p, u = (np.clip((x[:, live] - mean[live].astype(np.float32)) * unit[live].astype(np.float32), -8, 8) for x in (pos, unl))
     rng = np.random.default_rng(seed)
     w = np.zeros(p.shape[1] + 1)
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
+    p, u = (np.c_[x, np.ones(len(x), np.float32)] for x in (p, u))
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for _ in range(epochs):
         order = rng.permutation(len(u))
@@ -116,6 +119,133 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS,
     return Model(weight, float(w[-1] - mean @ weight))
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray, first: float = 0.5) -> float:
+    """The least ratio of the shares of unlabelled rows and of fresh positives beyond a cut that at least half of these pass."""
+    half = np.arange(len(pos)) % 2 == 0
+    if half.all() or not half.any():
+        return first
+    model = train(pos[half], unl, first)
+    known, free = np.sort(model.margin(pos[~half])), np.sort(model.margin(unl))
+    cut = np.unique(np.quantile(known, np.linspace(0.01, 0.5, 50)))
+    share = [1 - np.searchsorted(x, cut) / len(x) for x in (free, known)]
+    return float(min(max((share[0] / np.maximum(share[1], 1e-9)).min(), 0.05), 0.98))
+
+
+def platt(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
+    """Slope (kept positive) by logistic fit to the labels, shift by the good rows; unchanged without both labels."""
+    if len(np.unique(y)) < 2:
+        return model
+    z = model.margin(x)
+    scale = max(float(np.std(z)), 1e-9)
+    z = z / scale
+    a, b = 1.0, 0.0
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+        d, h = q - y, np.maximum(q * (1 - q), 1e-6)
+        grad = np.array([(d * z).mean() + 1e-3 * (a - 1), d.mean()])
+        hess = np.array([[(h * z * z).mean() + 1e-3, (h * z).mean()], [(h * z).mean(), h.mean() + 1e-9]])
+        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        a, b = max(a - step[0], 1e-3), b - step[1]
+    # the accepted side starts where the labels part best, with KEEP_GOOD of the good rows let in at least
+    good, bad = np.sort(z[y == 1]), np.sort(z[y == 0])
+    tried = np.unique(z[z <= np.quantile(good, 1 - KEEP_GOOD)])
+    lost, let_in = np.searchsorted(good, tried) / len(good), 1 - np.searchsorted(bad, tried) / len(bad)
+    least = float(tried[len(tried) - 1 - np.argmin((lost + let_in)[::-1])])
+    return Model(model.weight, model.bias, a / scale, float(np.log(ACCEPT / (1 - ACCEPT))) - a * least)
+
+
+def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features packed: which are not zero, and their values."""
+    for b in batches:
+        for i in range(0, len(b), 500):
+            part = b.slice(i, 500)
+            found = [np.packbits(x != 0).tobytes() + x[x != 0].tobytes() for x in features(part["text"])]
+            yield pa.RecordBatch.from_arrays([part["quality"], pa.array(found, pa.binary())], ["quality", "x"])
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out, head = np.zeros((len(rows), WIDTH), np.float32), -(-WIDTH // 8)
+    for i, data in enumerate(rows):
+        out[i, np.unpackbits(np.frombuffer(data, np.uint8, head), count=WIDTH).astype(bool)] = np.frombuffer(data[head:], np.float32)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, unlabelled: int = UNLABELLED) -> Model | None:
+    """None without a trusted positive. Rows of the held-out fold are left out on both sides.
+
+    The labelled sample has the rows with the least hash of doc_id, the unlabelled one those whose
+    hash lies below a bound, both in the order of a hash, so a rerun gives the same model.
+    """
+    rows = tables.texts(docs).where("doc_id is not null").where(~held_out())
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    own = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    marked = rows.join(F.broadcast(own.orderBy(*order).limit(sample)), "doc_id")  # at most the sample, two numbers a row
+    n = rows.select("doc_id").count()
+    share = min(1.0, unlabelled * max(1.0, (n / GROWS_FROM) ** (1 / 3)) / max(n, 1))
+    free = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("quality", F.lit(-1))
+    chosen = marked.unionByName(free).orderBy(*order, "quality", "text")
+    got = chosen.select("quality", "text").mapInArrow(_vectors, "quality int, x binary").toArrow()
+    x, y = _unpacked(got["x"].to_pylist()), got["quality"].to_numpy()
+    pos, unl, known = x[y == 1], x[y == -1], y >= 0
+    if not len(pos) or not len(unl):
+        return None
+    return platt(train(pos, unl, class_prior(pos, unl)), x[known], (y[known] == 1).astype(float))
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip(self.slope * self.margin(x) + self.shift, -60, 60)
+        return 1 / (1 + np.exp(-z))
+
+
+def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Non-negative unbiased risk, by Adam over paired batches. Constant features keep weight zero."""
+    pos, unl = (x.astype(np.float32, copy=False) for x in (pos, unl))
+    both = np.concatenate([pos, unl])
+    mean, sd = both.mean(axis=0, dtype=np.float64), both.std(axis=0, dtype=np.float64)
+    unit = np.where(sd > 1e-4, 1 / np.maximum(sd, 1e-4), 0.0)
+    live = np.flatnonzero(unit)
+    p, u = (np.clip((x[:, live] - mean[live].astype(np.float32)) * unit[live].astype(np.float32), -8, 8) for x in (pos, unl))
+    rng = np.random.default_rng(seed)
+    w = np.zeros(p.shape[1] + 1)
+    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
+    p, u = (np.c_[x, np.ones(len(x), np.float32)] for x in (p, u))
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    for _ in range(epochs):
+        order = rng.permutation(len(u))
+        for i in range(0, len(u), BATCH):
+            xu, xp = u[order[i : i + BATCH]], p[rng.integers(0, len(p), BATCH)]
+            zu, zp = xu @ w, xp @ w
+            rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            of_rest = xu.T @ sig(zu) / len(zu) - prior * (xp.T @ sig(zp)) / len(zp)
+            if rest < 0:
+                g = -of_rest
+            else:
+                g = of_rest - prior * (xp.T @ sig(-zp)) / len(zp)
+            g = g + DECAY * w
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    weight = np.zeros(len(mean))
+    weight[live] = w[:-1] * unit[live]
+    return Model(weight, float(w[-1] - mean @ weight))
+
+
+def class_prior(pos: np.ndarray, unl: np.ndarray, first: float = 0.5) -> float:
+    """The least ratio of the shares of unlabelled rows and of fresh positives beyond a cut that at least half of these pass."""
+    half = np.arange(len(pos)) % 2 == 0
+    if half.all() or not half.any():
+        return first
+    model = train(pos[half], unl, first)
+    known, free = np.sort(model.margin(pos[~half])), np.sort(model.margin(unl))
+    cut = np.unique(np.quantile(known, np.linspace(0.01, 0.5, 50)))
+    share = [1 - np.searchsorted(x, cut) / len(x) for x in (free, known)]
+    return float(min(max((share[0] / np.maximum(share[1], 1e-9)).min(), 0.05), 0.98))
+
+
 def platt(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     """Slope (kept positive) by logistic fit to the labels, shift by the good rows; unchanged without both labels."""
     if len(np.unique(y)) < 2:
