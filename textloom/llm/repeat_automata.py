@@ -12,8 +12,8 @@
    through it, and each hit is extended in both directions as far as document and
    passage agree. An extended hit of a window or more is an occurrence.
 
-The text of an occurrence is cut out. Windows are compared by 96 bits, two hashes of their
-words made independently; some two of n different windows collide with a chance of about n^2 / 2^97.
+The text of an occurrence is cut out. Windows are compared by 80 bits, two hashes of their
+words made independently; of n different windows about n^2 / 2^81 pairs collide.
 Streaming every document through every shard's automaton would cost shards times corpus;
 instead a document meets the one automaton that holds all recurring passages found in it.
 """
@@ -42,10 +42,10 @@ FULL = (1 << 64) - 1
 
 
 def window_hashes(word_hash: np.ndarray, words, n: int, mask: int = FULL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window, 64 bits (those of the mask), 32 others from words hashed anew, and its first word."""
+    """Of each window, 64 bits (those of the mask), 16 others from words hashed anew, and its first word."""
     h, at = grams(word_hash, words, n)
     more, _ = grams(mix(word_hash ^ _OTHER), words, n)
-    return h & U(mask), (more >> U(32)).astype(np.uint32), at
+    return h & U(mask), (more >> U(48)).astype(np.uint16), at
 
 
 def _sorted(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def _meet(shards: int):
                 else:
                     h, g, s = packed.unpack(data)
                     hs.append(h)
-                    gs.append(g.astype(np.uint32))
+                    gs.append(g.astype(np.uint16))
                     asks.append(s.astype(np.int64))
             if to:
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(passed, pa.binary())], ["shard", "found"])
@@ -246,7 +246,7 @@ def _cut(n: int, names: list[str], mask: int):
             is_doc = np.asarray(data.is_null().to_numpy(zero_copy_only=False))
             found += [packed.unpack(x[8:]) for x in data.to_pylist() if x is not None]
             docs.append(batch.select(names).filter(pa.array(is_doc)))
-        known_h, known_g = np.concatenate([np.zeros(0, U), *[f[0] for f in found]]), np.concatenate([np.zeros(0, np.uint32), *[f[1].astype(np.uint32) for f in found]])
+        known_h, known_g = np.concatenate([np.zeros(0, U), *[f[0] for f in found]]), np.concatenate([np.zeros(0, np.uint16), *[f[1].astype(np.uint16) for f in found]])
         order, new = _sorted(known_h, known_g)
         known_h, known_g = known_h[order][new], known_g[order][new]
         rows = pa.Table.from_batches(docs) if docs else None
