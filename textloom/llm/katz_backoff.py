@@ -37,7 +37,7 @@ from .wordscan import U, buffers, mix, runs, scan
 
 FOLDS, HELD_OUT, K = 5, 1, 5
 #: Tokens packed at a time; bytes of text for each bucket (both grow with the root of large inputs, so rows between tasks grow with the input); a word is spread if it has over this share of a bucket's tokens.
-FLUSH, BUCKET_BYTES, SPREAD = 1 << 20, 12 << 20, 0.25
+FLUSH, BUCKET_BYTES, SPREAD = 1 << 20, 9 << 20, 0.25
 END, BEGIN = U(0x1234567890ABCDEF), U(0x0FEDCBA987654321)
 
 
