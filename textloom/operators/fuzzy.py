@@ -40,7 +40,8 @@ def symspell_lookup(dictionary: DataFrame, wanted: DataFrame, max_distance: int,
 
 
 def autocomplete(terms: DataFrame, prefix: str, k: int = 10) -> DataFrame:
-    """(term, cf) by falling frequency, ties by term; the prefix reaches the scan of a stored vocabulary."""
-    if not prefix or k <= 0:
+    """(term, cf) that begin with the prefix's first token, by falling frequency, ties by term; the prefix reaches the scan of a stored vocabulary."""
+    own = words(prefix)[:1]
+    if not own or k <= 0:
         return terms.select("term", "cf").limit(0)
-    return terms.where(F.col("term").startswith(prefix.lower())).select("term", "cf").orderBy(F.desc("cf"), "term").limit(k)
+    return terms.where(F.col("term").startswith(own[0])).select("term", "cf").orderBy(F.desc("cf"), "term").limit(k)

@@ -14,12 +14,20 @@ VERSION = "1.2"
 
 @dataclass
 class Index:
-    """docs (doc_id, url, title, length, title_length, body_length), postings (term, doc_id, tf, three position lists), terms (term, df, cf) and one row of meta."""
+    """docs (doc_id, url, title, length, title_length, body_length), postings (term, doc_id, tf, three position lists), terms (term, df, cf) and one row of meta.
+
+    facts are the numbers of meta that rankers need; an index that isn't stored has them without counting its terms.
+    """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     meta: DataFrame
+    averages: DataFrame | None = None
+
+    @property
+    def facts(self) -> DataFrame:
+        return (self.meta if self.averages is None else self.averages).select("num_docs", "mean_length", "mean_title", "mean_body")
 
 
 def build_index(pages: DataFrame) -> Index:
@@ -43,15 +51,18 @@ def build_index(pages: DataFrame) -> Index:
     # counts need no positions
     pairs = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     terms = pairs.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return Index(docs, postings, terms, index_meta(docs, terms))
+    return Index(docs, postings, terms, index_meta(docs, terms), averages(docs))
 
 
-def index_meta(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def averages(docs: DataFrame) -> DataFrame:
     zero = F.lit(0)
-    own = docs.agg(
+    return docs.agg(
         F.count("*").alias("num_docs"), F.coalesce(F.sum("length"), zero).alias("total_tokens"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean_length"), F.coalesce(F.avg("title_length"), F.lit(0.0)).alias("mean_title"), F.coalesce(F.avg("body_length"), F.lit(0.0)).alias("mean_body")
     )
-    return own.crossJoin(terms.agg(F.count("*").alias("num_terms"))).withColumns({"version": F.lit(VERSION), "crawled_at": F.current_timestamp()})
+
+
+def index_meta(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    return averages(docs).crossJoin(terms.agg(F.count("*").alias("num_terms"))).withColumns({"version": F.lit(VERSION), "crawled_at": F.current_timestamp()})
 
 
 def reconstruct_tokens(postings: DataFrame) -> DataFrame:

@@ -29,13 +29,14 @@ def find(index: Index, query: str, *, mode: str = "and", ranker: Ranker | str =
     asked = leaves(tree) if tree else words(query)
     own = list(dict.fromkeys(asked))
     number = {w: i for i, w in enumerate(own)}
-    hits = index.postings.where(F.col("term").isin(own) if own else F.lit(False))
+    known = F.col("term").isin(own) if own else F.lit(False)
+    hits = index.postings.where(known)
     phrase = tree is None and mode == "phrase" and len(asked) > 1
     per_doc = [c for w, i in number.items() for c in _of_term(w, i, phrase)]
     found = hits.groupBy("doc_id").agg(F.count("*").alias("hits"), *per_doc)
-    # one row: how many documents hold each word
-    seen = hits.agg(F.count("*").alias("any"), *[F.count(F.when(F.col("term") == w, 1)).alias(f"df{i}") for w, i in number.items()])
-    facts = index.meta.select("num_docs", "mean_length", "mean_title", "mean_body").crossJoin(seen)
+    # one row: how many documents hold each word, from the vocabulary
+    seen = index.terms.where(known).agg(F.count("*").alias("any"), *[F.coalesce(F.max(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).alias(f"df{i}") for w, i in number.items()])
+    facts = index.facts.crossJoin(seen)
     if tree:
         rows = index.docs.join(found, "doc_id", "left").crossJoin(F.broadcast(facts))
         rows = rows.where((F.col("any") > 0) & predicate(tree, lambda w: F.col(f"tf{number[w]}").isNotNull()))
@@ -85,7 +86,7 @@ def find_all(index: Index, queries: DataFrame, rankers: list[str], top_k: int =
     """
     size = queries.groupBy("query_id").agg(F.countDistinct("term").alias("n"))
     asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms.select("term", "df"), "term")
-    facts = index.meta.select("num_docs", "mean_length", "mean_title", "mean_body")
+    facts = index.facts
     slim = index.postings.select("term", "doc_id", "tf", F.size("title_positions").alias("title_tf"), F.size("body_positions").alias("body_tf"))
     rows = asked.join(slim, "term").join(index.docs, "doc_id").crossJoin(F.broadcast(facts))
     c = F.col
@@ -101,7 +102,7 @@ def norms(index: Index) -> DataFrame:
 
     A word that all documents have is a hot key of the join, which adaptive execution splits; it moves counts only.
     """
-    facts = index.meta.select("num_docs")
+    facts = index.facts.select("num_docs")
     rows = index.postings.select("term", "doc_id", "tf").join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(facts))
     return rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(_weight(F.col("tf"), F.col("df"), F.col("num_docs")), F.lit(2)))).alias("norm"))
 
@@ -116,7 +117,7 @@ def cosine_all(index: Index, queries: DataFrame, top_k: int = 10, lengths: DataF
     Any shared word is a match. Words unknown to the index are ignored; lengths are those of `norms`.
     """
     c = F.col
-    asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.meta.select("num_docs")))
+    asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.facts.select("num_docs")))
     asked = asked.select("query_id", "term", _weight(c("times"), c("df"), c("num_docs")).alias("asked"), (F.ln((1 + c("num_docs")) / (1 + c("df"))) + 1).alias("rarity"))
     own = asked.groupBy("query_id").agg(F.sqrt(F.sum(c("asked") * c("asked"))).alias("own"))
     hits = asked.join(index.postings.select("term", "doc_id", "tf"), "term")

@@ -9,14 +9,21 @@ from textloom.functions.text import highlighted
 
 
 def best_start(tokens: Column, wanted: list[str], window: int) -> Column:
-    """Start of the first window with the most hits, from running counts over the document's own array."""
+    """Start of the first window with the most hits.
+
+    That window is the first, or ends at a hit; so each hit is compared with the at most window hits
+    that stand next before it, in time linear in the document.
+    """
     hit = F.array(*[F.lit(t) for t in wanted]) if wanted else F.array().cast("array<string>")
     places = F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(hit, t), i)), lambda i: i.isNotNull())
-    last = F.size(tokens) - window
-    # the first best window is the start, the end, or just takes in a hit at its right edge
-    starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(places, lambda p: F.greatest(F.lit(0), F.least(last, p - window + 1)))))
-    scored = F.transform(starts, lambda s: F.struct((-F.size(F.filter(places, lambda p: (p >= s) & (p < s + window)))).alias("n"), s.alias("s")))
-    return F.array_min(scored)["s"]
+
+    def ending(p: Column, j: Column) -> Column:
+        start = p - window + 1
+        before = F.slice(places, F.greatest(F.lit(1), j - window + 2), F.least(j + 1, F.lit(window)))
+        return F.struct((-F.size(F.filter(before, lambda x: x >= start))).alias("n"), F.greatest(start, F.lit(0)).alias("s"))
+
+    first = F.struct((-F.size(F.filter(F.slice(places, 1, window), lambda x: x < window))).alias("n"), F.lit(0).alias("s"))
+    return F.array_min(F.concat(F.array(first), F.transform(places, ending)))["s"]
 
 
 def snippets(docs: DataFrame, wanted: list[str], window: int = 20) -> DataFrame:

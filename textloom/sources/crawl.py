@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 from urllib.robotparser import RobotFileParser
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import kept
 from textloom.functions.text import html_links, html_text, html_title, url_host, url_normalised, url_resolved
 
 
@@ -16,17 +17,6 @@ class CrawlError(Exception):
     """The walk can't start."""
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the session names; a folder of its own only in local sessions without one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise CrawlError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
-
-
 def links_of(pages: DataFrame) -> DataFrame:
     """(src, pos, dst): resolved links on the page's own host, in order."""
     found = pages.select(F.col("url").alias("src"), F.posexplode(html_links(F.col("html"))).alias("pos", "link"))
@@ -38,18 +28,18 @@ def walk(links: DataFrame, start: str, max_depth: int | None = None) -> DataFram
 
     A page's path is that of the page that first links to it and its place there, so no global numbering is needed.
     """
-    spark = links.sparkSession
-    seen = spark.createDataFrame([(start, 0, "")], "url string, level int, path string")
-    frontier, level = seen, 0
-    while max_depth is None or level < max_depth:
-        level += 1
+    frontier = kept(links.sparkSession.createDataFrame([(start, 0, "")], "url string, level int, path string"))
+    levels = [frontier]  # each is written once
+    while max_depth is None or len(levels) <= max_depth:
         reached = frontier.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url"), F.concat("path", F.lpad(F.col("pos").cast("string"), 6, "0"), F.lit("/")).alias("path"))
-        new = reached.groupBy("url").agg(F.min("path").alias("path")).join(seen.select("url"), "url", "left_anti").select("url", F.lit(level).alias("level"), "path")
-        frontier = settled(new)
+        new = reached.groupBy("url").agg(F.min("path").alias("path"))
+        for seen in levels:
+            new = new.join(seen.select("url"), "url", "left_anti")
+        frontier = kept(new.select("url", F.lit(len(levels)).alias("level"), "path"))
         if frontier.isEmpty():
             break
-        seen = settled(seen.unionByName(frontier))
-    return seen
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def allowed(robots: str | None, urls: list[str], agent: str = "*") -> list[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from itertools import accumulate
 
 from pyspark import StorageLevel
@@ -14,10 +15,12 @@ from textloom.functions import codecs
 from textloom.functions.codecs import decode_named_blocks
 from textloom.functions.text import tokens
 from textloom.operators.index import VERSION, Index, index_meta
+from textloom.sources.shared import listing
 
 #: Versions that can be read.
 VERSIONS = ("1.0", "1.1", "1.2")
 TABLES = ("docs", "postings", "terms", "meta")
+GENERATION = "generation-"
 #: Fixed values of the older form: its position lists, and what is added to the name for their byte codes.
 LISTS = ("positions", "title_positions", "body_positions")
 SIDECAR = ".postings.bin"
@@ -32,20 +35,35 @@ class IndexVersionError(StorageError):
 
 
 def save(index: Index, path: str) -> None:
-    """Four tables; postings sorted by term within files, so that a term's scan prunes row groups. The version comes last."""
+    """Four tables; postings sorted by term within files, so that a term's scan prunes row groups.
+
+    They are written beside what is there, as a new generation whose meta comes last; only then are
+    older ones deleted. So a save that breaks off leaves the old index readable and whole.
+    """
+    spark = index.docs.sparkSession
+    old = _generations(spark, path)
+    new = f"{path}/{GENERATION}{max(old, default=0) + 1:06d}"
     for name in TABLES:
         df = getattr(index, name)
         if name in ("postings", "terms"):
             df = df.repartitionByRange("term").sortWithinPartitions("term") if name == "terms" else df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{new}/{name}")
+    for number in old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{GENERATION}{number:06d}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    return [int(m[1]) for name, _, _ in listing(spark, path) if (m := re.search(rf"/{GENERATION}(\d+)$", name))]
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    try:
-        found = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-        version = found["meta"].select("version").first()
-    except Exception as e:
-        raise StorageError(f"no index at {path}") from e
+    """The latest generation that was written to its end."""
+    whole = [n for n in _generations(spark, path) if listing(spark, f"{path}/{GENERATION}{n:06d}/meta/_SUCCESS")]
+    if not whole:
+        raise StorageError(f"no index at {path}")
+    found = {name: spark.read.parquet(f"{path}/{GENERATION}{max(whole):06d}/{name}") for name in TABLES}
+    version = found["meta"].select("version").first()
     if version is None or version[0] not in VERSIONS:
         raise IndexVersionError(f"unknown version {version and version[0]}")
     return Index(**found)
