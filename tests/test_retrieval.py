@@ -241,6 +241,82 @@ def test_shell(spark, tmp_path):
     assert "3 documents" in text_ and "hello: df=2" in text_ and "**hello** again **friends**" in text_ and "did you mean: hello" in text_ and "parse error" in text_ and "unknown command" in text_ and "never" not in text_
 
 
+def test_shell_builds_a_site(spark, tmp_path):
+    from textloom.cli import Shell
+
+    pages = {f"https://h.x/p{i}": f"<title>P{i}</title><p>word number{i}</p>" for i in range(30)}
+    site = {"https://h.x/": "".join(f'<a href="/p{i}">l</a>' for i in range(30)) + '<a href="/copy">c</a>', "https://h.x/copy": pages["https://h.x/p3"], **pages}
+    said: list[str] = []
+    shell = Shell(spark, said.append, fetcher=fetch.Fetcher(delay=0, retries=1, ask=lambda u: (200, site[u]) if u in site else (404, "")))
+    shell.run([f"build https://h.x/ {tmp_path}/site", "find word", 'suggest "don\'t"', "suggest NUMBER2", "suggest --", f"build nohost {tmp_path}/none"])
+    text_ = "\n".join(said)
+    assert "fetched 32 pages" in text_ and "31 documents" in text_ and "30. " in text_ and "31. " not in text_
+    assert "no terms begin with 'dont'" in text_ and "number2 (" in text_ and "empty prefix" in text_ and "error" in text_
+
+
+def test_broken_save_leaves_the_old_index(spark, tmp_path):
+    path = str(tmp_path / "i")
+    storage.save(index_of(spark, ["old words"]), path)
+    new = index_of(spark, ["new words"])
+    new.meta = new.meta.where("assert_true(false) is null")  # the last table fails
+    with pytest.raises(Exception):
+        storage.save(new, path)
+    assert {r["term"] for r in storage.load(spark, path).postings.collect()} == {"old", "words"}
+    storage.save(index_of(spark, ["newer"]), path)
+    assert {r["term"] for r in storage.load(spark, path).postings.collect()} == {"newer"}
+    assert len([x for x in (tmp_path / "i").iterdir() if x.name.startswith("generation")]) == 1
+
+
+def test_find_reads_a_stored_index(spark, tmp_path):
+    from textloom.sources import stored
+
+    texts = ["alpha beta", "beta gamma", "alpha"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    built = []
+
+    def build():
+        built.append(1)
+        return index_of(spark, texts)
+
+    for _ in range(2):
+        found = retrieve.find(stored.index(spark, "t", build, str(tmp_path / "documents.parquet")), "alpha beta")
+        assert [r["doc_id"] for r in found.collect()] == [0]
+    assert len(built) == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [alpha,beta])" in plan and "explode" not in plan.lower() and "Generate" not in plan
+    spark.createDataFrame([(9, "other")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    stored.index(spark, "t", build, str(tmp_path / "documents.parquet"))
+    assert len(built) == 2  # other files, another index
+
+
+def test_snippets_and_codes_are_linear_and_equal_brute_force(spark):
+    import random
+    import time
+
+    r = random.Random(1)
+    docs = [[r.choice("abcd") for _ in range(r.randint(0, 60))] for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, tokens array<string>")
+    for window in (1, 7, 20):
+        got = {x["doc_id"]: x["start"] for x in snippets.snippets(df, ["a", "b"], window).collect()}
+        for i, d in enumerate(docs):
+            hits = [sum(t in "ab" for t in d[s : s + window]) for s in range(max(1, len(d) - window + 1))]
+            assert got[i] == (0 if len(d) <= window else hits.index(max(hits)))
+    long = spark.createDataFrame([(0, ["a", "x"] * 100_000)], "doc_id long, tokens array<string>")
+    deltas = spark.createDataFrame([(list(range(1, 400_001)),)], "v array<int>")
+    start = time.time()
+    assert snippets.snippets(long, ["a"], 20).first()["start"] == 0
+    assert deltas.select(codecs.delta_decoded(codecs.delta_encoded(F.col("v"))).alias("d")).first()["d"][-1] == 400_000
+    assert time.time() - start < 20
+    lists = [[], [0], [127, 128, 2**40, 5], None, [2**62], list(range(300))]
+    own = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, v array<long>").coalesce(1)
+    codes = {x["i"]: x["c"] for x in own.select("i", codecs.block_encoded("v").alias("c")).collect()}
+    assert [codes[i] and bytes(codes[i]) for i in range(len(lists))] == [None if x is None else codecs.encode_block(x) for x in lists]
+    back = {x["i"]: x["v"] for x in own.select("i", codecs.block_decoded(codecs.block_encoded("v")).alias("v")).collect()}
+    assert [back[i] for i in range(len(lists))] == lists
+    with pytest.raises(Exception):
+        spark.createDataFrame([(bytearray(b"\x03\x01"),)], "c binary").select(codecs.block_decoded("c")).collect()
+
+
 def test_stream(spark, tmp_path):
     from textloom.streaming import append_postings
 

@@ -7,6 +7,7 @@ import sys
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,10 @@ from textloom.functions.text import html_text, html_title
 from textloom.operators import fuzzy, retrieve, snippets
 from textloom.operators.boolean import words
 from textloom.operators.index import Index, build_index, print_term, reconstruct_tokens
-from textloom.sources import storage
+from textloom.sources import crawl, storage
+from textloom.sources.fetch import Fetcher, fetched
 
-HELP = "build PAGES TO | load FROM | print WORD | find [--ranker NAME] [--explain] [--snippet] WORDS | suggest PREFIX | help | exit | quit"
+HELP = "build START TO | build PAGES TO | load FROM | print WORD | find [--ranker NAME] [--explain] [--snippet] WORDS | suggest PREFIX | help | exit | quit"
 
 
 @dataclass
@@ -48,8 +50,10 @@ def flags(args: list[str]) -> Flags:
 
 
 class Shell:
-    def __init__(self, spark: SparkSession, say: Callable[[str], None] = print, top_k: int = 20):
-        self.spark, self.say, self.top_k = spark, say, top_k
+    """top_k: results shown at most, all by default. fetcher: asks for pages when a site is built."""
+
+    def __init__(self, spark: SparkSession, say: Callable[[str], None] = print, top_k: int | None = None, fetcher: Fetcher | None = None):
+        self.spark, self.say, self.top_k, self.fetcher = spark, say, top_k, fetcher
         self.index: Index | None = None
 
     def run(self, lines: Iterable[str]) -> None:
@@ -76,7 +80,7 @@ class Shell:
         else:
             try:
                 getattr(self, f"do_{name}")(rest)
-            except (storage.StorageError, ValueError) as e:
+            except (storage.StorageError, crawl.CrawlError, AnalysisException, ValueError) as e:
                 self.say(f"error: {e}")
         return True
 
@@ -85,9 +89,16 @@ class Shell:
 
     def do_build(self, args: list[str]) -> None:
         if len(args) != 2:
-            raise ValueError("build needs a Parquet table of pages (page_id, url, html) and a folder")
-        pages = self.spark.read.parquet(args[0])
-        storage.save(build_index(pages.select(F.col("page_id").alias("doc_id"), "url", html_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"))), args[1])
+            raise ValueError("build needs a start address, or a Parquet table of pages (page_id, url, html), and a folder")
+        if "://" in args[0] and args[0].split("://")[0] in ("http", "https"):
+            pages = fetched(self.spark, args[0], fetcher=self.fetcher)
+            self.say(f"fetched {pages.count()} pages")
+            first = crawl.crawl(pages.select("url", "html"), args[0])  # of equal texts the one reached first
+            numbered = pages.select("page_id", crawl.url_normalised(F.col("url")).alias("url"))
+            rows = first.join(numbered, "url").select(F.col("page_id").alias("doc_id"), "url", "title", "text")
+        else:
+            rows = self.spark.read.parquet(args[0]).select(F.col("page_id").alias("doc_id"), "url", html_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"))
+        storage.save(build_index(rows), args[1])
         self.do_load(args[1:])
 
     def do_load(self, args: list[str]) -> None:
@@ -139,7 +150,13 @@ class Shell:
                 return
 
     def do_suggest(self, args: list[str]) -> None:
-        for r in fuzzy.autocomplete(self.index.terms, " ".join(args), 10).collect():
+        own = words(" ".join(args))[:1]
+        if not own:
+            return self.say("empty prefix")
+        rows = fuzzy.autocomplete(self.index.terms, own[0], 10).collect()
+        if not rows:
+            self.say(f"no terms begin with '{own[0]}'")
+        for r in rows:
             self.say(f"{r['term']} ({r['cf']})")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
 
 def delta_encoded(values: Column) -> Column:
-    """The first value, then each less the one before."""
+    """The first value, then each less the one before. values: a column of a table; another expression would be found anew for each value."""
     return F.transform(values, lambda x, i: F.when(i == 0, x).otherwise(x - F.element_at(values, F.greatest(i, F.lit(1)))))
 
 

@@ -15,15 +15,18 @@ def best_start(tokens: Column, wanted: list[str], window: int) -> Column:
     that stand next before it, in time linear in the document.
     """
     hit = F.array(*[F.lit(t) for t in wanted]) if wanted else F.array().cast("array<string>")
-    places = F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(hit, t), i)), lambda i: i.isNotNull())
+    found = F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(hit, t), i)), lambda i: i.isNotNull())
 
-    def ending(p: Column, j: Column) -> Column:
-        start = p - window + 1
-        before = F.slice(places, F.greatest(F.lit(1), j - window + 2), F.least(j + 1, F.lit(window)))
-        return F.struct((-F.size(F.filter(before, lambda x: x >= start))).alias("n"), F.greatest(start, F.lit(0)).alias("s"))
+    def best(places: Column) -> Column:
+        def ending(p: Column, j: Column) -> Column:
+            start = p - window + 1
+            before = F.slice(places, F.greatest(F.lit(1), j - window + 2), F.least(j + 1, F.lit(window)))
+            return F.struct((-F.size(F.filter(before, lambda x: x >= start))).alias("n"), F.greatest(start, F.lit(0)).alias("s"))
 
-    first = F.struct((-F.size(F.filter(F.slice(places, 1, window), lambda x: x < window))).alias("n"), F.lit(0).alias("s"))
-    return F.array_min(F.concat(F.array(first), F.transform(places, ending)))["s"]
+        first = F.struct((-F.size(F.filter(F.slice(places, 1, window), lambda x: x < window))).alias("n"), F.lit(0).alias("s"))
+        return F.array_min(F.concat(F.array(first), F.transform(places, ending)))["s"]
+
+    return F.transform(F.array(found), best)[0]  # as a lambda's variable, so that it is found once
 
 
 def snippets(docs: DataFrame, wanted: list[str], window: int = 20) -> DataFrame:

@@ -11,18 +11,17 @@ from textloom.functions import codecs, text
 from textloom.operators import boolean, fuzzy, learned, ranking, retrieve, snippets
 from textloom.operators.index import Index, build_index, print_term, reconstruct_tokens
 from textloom.plans import sql
-from textloom.plans.judgements import for_every_query
-from textloom.sources import crawl, storage
+from textloom.sources import crawl, shared, storage, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, name: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = oracle
+            ORACLES[name or f.__name__] = oracle
         return f
 
     return add
@@ -32,21 +31,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> Index:
-    """Plain documents: the address is the document's number, padded so that texts sort as numbers do."""
+def _built(spark: SparkSession, sf_dir: str) -> Index:
+    """Plain documents, indexed anew: the address is the document's number, padded so that texts sort as numbers do."""
     docs = _table(spark, sf_dir, "documents")
     return build_index(docs.select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("url"), F.lit("").alias("title"), "text"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of documents."""
+    return stored.index(spark, "documents", lambda: _built(spark, sf_dir), f"{sf_dir}/documents.parquet")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> Index:
     rows = _table(spark, sf_dir, "pages")
-    return build_index(rows.select(F.col("page_id").alias("doc_id"), "url", text.html_title(F.col("html")).alias("title"), text.html_text(F.col("html")).alias("text")))
+    return stored.index(spark, "pages", lambda: build_index(rows.select(F.col("page_id").alias("doc_id"), "url", text.html_title(F.col("html")).alias("title"), text.html_text(F.col("html")).alias("text"))), f"{sf_dir}/pages.parquet")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> Index:
     """Turns of conversations; the role is their title."""
     name = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return build_index(_table(spark, sf_dir, "conversations").select(name.alias("doc_id"), name.alias("url"), F.col("role").alias("title"), "text"))
+    rows = _table(spark, sf_dir, "conversations").select(name.alias("doc_id"), name.alias("url"), F.col("role").alias("title"), "text")
+    return stored.index(spark, "turns", lambda: build_index(rows), f"{sf_dir}/conversations.parquet")
 
 
 def _joined(c: str):
@@ -63,22 +68,22 @@ def tokenize_docs(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len({sql.tokens('text')}) AS INTEGER) AS length FROM documents")
 def doc_lengths(spark, sf_dir):
-    return documents(spark, sf_dir).docs.select("doc_id", "length")
+    return _built(spark, sf_dir).docs.select("doc_id", "length")
 
 
 @query(sql.DOCS + "SELECT term, doc_id, CAST(tf AS INTEGER) AS tf, array_to_string(positions, ' ') AS positions FROM post")
 def index_postings(spark, sf_dir):
-    return documents(spark, sf_dir).postings.select("term", "doc_id", "tf", _joined("positions").alias("positions"))
+    return _built(spark, sf_dir).postings.select("term", "doc_id", "tf", _joined("positions").alias("positions"))
 
 
 @query(sql.DOCS + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
 def index_terms(spark, sf_dir):
-    return documents(spark, sf_dir).terms
+    return _built(spark, sf_dir).terms
 
 
 @query(sql.DOCS + "SELECT num_docs, (SELECT count(DISTINCT term) FROM post) AS num_terms, (SELECT CAST(sum(length) AS BIGINT) FROM docs) AS total_tokens, round(mean_length, 6) AS mean_length FROM facts")
 def index_meta(spark, sf_dir):
-    return documents(spark, sf_dir).meta.select("num_docs", "num_terms", "total_tokens", F.round("mean_length", 6).alias("mean_length"))
+    return _built(spark, sf_dir).meta.select("num_docs", "num_terms", "total_tokens", F.round("mean_length", 6).alias("mean_length"))
 
 
 @query(sql.PAGES + "SELECT term, doc_id, field, array_to_string(positions, ' ') AS positions FROM (SELECT term, doc_id, 'positions' AS field, positions FROM post UNION ALL SELECT term, doc_id, 'title_positions', title_positions FROM post UNION ALL SELECT term, doc_id, 'body_positions', body_positions FROM post) WHERE len(positions) > 0")
@@ -181,17 +186,26 @@ def find_explain(spark, sf_dir):
 # vocabulary
 
 
-@query(sql.DOCS + "SELECT term, distance FROM (SELECT term, CAST(levenshtein(term, 'ingro') AS INTEGER) AS distance FROM (SELECT DISTINCT term FROM post WHERE regexp_full_match(term, '[a-z0-9_]+'))) WHERE distance <= 2 ORDER BY distance, term LIMIT 5")
+# the second engine counts bytes; a mark in place of each wider letter, which no word asked for has, leaves distances as they are
+_NARROW = "regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g')"
+
+
+@query(sql.DOCS + f"SELECT term, distance FROM (SELECT term, CAST(levenshtein({_NARROW}, 'ingro') AS INTEGER) AS distance FROM (SELECT DISTINCT term FROM post)) WHERE distance <= 2 ORDER BY distance, term LIMIT 5")
 def suggest_levenshtein(spark, sf_dir):
-    terms = documents(spark, sf_dir).terms.where(F.col("term").rlike("^[a-z0-9_]+$"))  # the second engine counts bytes
-    return fuzzy.suggest(terms, "ingro")
+    return fuzzy.suggest(documents(spark, sf_dir).terms, "ingro")
 
 
-@query(sql.DOCS + "SELECT word, term, distance FROM (SELECT word, term, CAST(levenshtein(term, word) AS INTEGER) AS distance FROM (SELECT DISTINCT term FROM post WHERE regexp_full_match(term, '[a-z0-9_]+')), (VALUES ('ingro'), ('thx'), ('wtih')) w(word)) WHERE distance <= 1")
-def suggest_symspell(spark, sf_dir):
-    terms = documents(spark, sf_dir).terms.where(F.col("term").rlike("^[a-z0-9_]+$"))
-    wanted = spark.createDataFrame([("ingro",), ("thx",), ("wtih",)], "word string")
-    return fuzzy.symspell_lookup(fuzzy.build_symspell(terms, 1), wanted, 1, 1)
+def _symspell(most: int, name: str, asked: list[str]) -> None:
+    values = ", ".join(f"('{w}')" for w in asked)
+
+    @query(sql.DOCS + f"SELECT word, term, distance FROM (SELECT word, term, CAST(levenshtein({_NARROW}, word) AS INTEGER) AS distance FROM (SELECT DISTINCT term FROM post), (VALUES {values}) w(word)) WHERE distance <= {most}", name)
+    def run(spark, sf_dir):
+        wanted = spark.createDataFrame([(w,) for w in asked], "word string")
+        return fuzzy.symspell_lookup(fuzzy.build_symspell(documents(spark, sf_dir).terms, most), wanted, most, most)
+
+
+_symspell(1, "suggest_symspell", ["ingro", "thx", "wtih"])
+_symspell(2, "suggest_symspell2", ["ingroo", "thx", "wtihe"])
 
 
 @query(sql.DOCS + "SELECT DISTINCT term, deletion FROM (SELECT term, term AS deletion FROM post UNION ALL SELECT term, concat(substr(term, 1, i - 1), substr(term, i + 1)) FROM (SELECT term, unnest(generate_series(1, length(term))) AS i FROM (SELECT DISTINCT term FROM post)))")
@@ -287,14 +301,13 @@ def rrf_hybrid(spark, sf_dir):
 
 
 def query_log(spark, sf_dir) -> DataFrame:
-    """(query_id, qpos, term): the first two tokens of each benchmark item."""
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.slice(text.tokens("text"), 1, 2)).alias("qpos", "term"))
+    """(query_id, qpos, term): all tokens of each benchmark item."""
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(text.tokens("text")).alias("qpos", "term"))
 
 
 def _judged(spark, sf_dir) -> DataFrame:
-    """Good documents are relevant to every query."""
-    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return for_every_query(good, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).distinct())
+    """Good documents, relevant to every query."""
+    return _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
 
 
 LOG_RANKERS = ["frequency", "tfidf", "bm25"]
@@ -306,9 +319,13 @@ def find_query_log(spark, sf_dir):
     return run.select("ranker", "query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _run(spark, sf_dir) -> DataFrame:
+    """The log's run under LOG_RANKERS, written once."""
+    return stored.rows(spark, "run", lambda: retrieve.find_all(documents(spark, sf_dir), query_log(spark, sf_dir), LOG_RANKERS), *[f"{sf_dir}/{t}.parquet" for t in ("documents", "benchmark")])
+
+
 def _scores(spark, sf_dir):
-    run = retrieve.find_all(documents(spark, sf_dir), query_log(spark, sf_dir), LOG_RANKERS)
-    return ranking.metrics(run, _judged(spark, sf_dir), query_log(spark, sf_dir))
+    return ranking.metrics(_run(spark, sf_dir), _judged(spark, sf_dir), query_log(spark, sf_dir))
 
 
 @query(sql.DOCS + sql.LOG + sql.METRICS + "SELECT ranker, query_id, round(p_5, 6) AS p_5, round(r_5, 6) AS r_5, round(p_10, 6) AS p_10, round(r_10, 6) AS r_10 FROM scores")
@@ -346,24 +363,28 @@ def overlap_cosine_at_5(spark, sf_dir):
     return own.select("query_id", F.round("overlap", 6).alias("overlap"))
 
 
+def _asked(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Every query beside every document: a stated query log against all rows."""
+    return documents(spark, sf_dir).docs.select("doc_id").crossJoin(F.broadcast(_asked(spark, sf_dir))).select("query_id", "doc_id")
+
+
 @query(sql.DOCS + sql.LOG + sql.FEATURES)
 def ltr_features(spark, sf_dir):
-    index = documents(spark, sf_dir)
-    log = query_log(spark, sf_dir)
-    run = retrieve.find_all(index, log, ["bm25"], 10)
-    return learned.features(index, log, run.select("query_id", "doc_id"))
+    return learned.features(documents(spark, sf_dir), query_log(spark, sf_dir), _pairs(spark, sf_dir))
 
 
-def _asked(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+def _learnable(spark, sf_dir) -> DataFrame:
+    """Every query beside every document; those without any of its words have zeros for terms. Written once."""
 
+    def build() -> DataFrame:
+        grades = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("grade"))
+        return ltr_features(spark, sf_dir).join(grades, "doc_id", "left").fillna(0.0, ["grade"])
 
-def _learnable(spark, sf_dir) -> DataFrame:
-    """Every query beside every document; those without any of its words have zeros for terms."""
-    index, log = documents(spark, sf_dir), query_log(spark, sf_dir)
-    pairs = index.docs.select("doc_id").crossJoin(F.broadcast(_asked(spark, sf_dir))).select("query_id", "doc_id")
-    grades = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("grade"))
-    return learned.features(index, log, pairs).join(grades, "doc_id", "left").fillna(0.0, ["grade"]).cache()
+    return stored.rows(spark, "learnable", build, *[f"{sf_dir}/{t}.parquet" for t in ("documents", "benchmark", "labels")])
 
 
 @query()
@@ -372,14 +393,67 @@ def ltr_rank(spark, sf_dir):
     return learned.rank(learned.train(rows), rows)
 
 
+def _folds(spark, sf_dir) -> DataFrame:
+    """Average precision of the learned ranker on each query, with that query left out of its training, beside that of BM25; both rank all documents."""
+    rows = _learnable(spark, sf_dir)
+    own = learned.cross_validated(rows, F.col("query_id")).withColumn("ranker", F.lit("learned"))
+    plain = retrieve.ranked(rows.select("query_id", "doc_id", F.col("bm25_sum").alias("score"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("url")), ["query_id"], None).withColumn("ranker", F.lit("bm25"))
+    run = shared.kept(own.select("ranker", "query_id", "doc_id", "rank").unionByName(plain.select("ranker", "query_id", "doc_id", "rank")))
+    return ranking.metrics(run, _judged(spark, sf_dir), _asked(spark, sf_dir)).select("ranker", "query_id", "ap")
+
+
 @query()
 def ltr_folds(spark, sf_dir):
-    """Average precision of the learned ranker on queries it wasn't shown, beside that of BM25; both rank all documents."""
-    rows, good = _learnable(spark, sf_dir), _judged(spark, sf_dir)
-    own = learned.cross_validated(rows, F.pmod("query_id", F.lit(3))).withColumn("ranker", F.lit("learned"))
-    plain = retrieve.ranked(rows.select("query_id", "doc_id", F.col("bm25_sum").alias("score"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("url")), ["query_id"], None).withColumn("ranker", F.lit("bm25"))
-    both = ranking.metrics(own.select("ranker", "query_id", "doc_id", "rank").unionByName(plain.select("ranker", "query_id", "doc_id", "rank")), good, _asked(spark, sf_dir))
-    return both.groupBy("query_id").agg(*[F.round(F.max(F.when(F.col("ranker") == r, F.col("ap"))), 6).alias(f"ap_{r}") for r in ("learned", "bm25")])
+    return _folds(spark, sf_dir).groupBy("query_id").agg(*[F.round(F.max(F.when(F.col("ranker") == r, F.col("ap"))), 6).alias(f"ap_{r}") for r in ("learned", "bm25")])
+
+
+@query(sql.DOCS + sql.LOG + sql.METRICS + "SELECT count(*) AS queries, count(*) FILTER (a.ap > b.ap + 1e-9) AS wins, round(avg(a.ap), 6) AS mean_a, round(avg(b.ap), 6) AS mean_b FROM (SELECT * FROM scores WHERE ranker = 'bm25') a JOIN (SELECT * FROM scores WHERE ranker = 'frequency') b USING (query_id)")
+def ranker_wins(spark, sf_dir):
+    own = shared.kept(_scores(spark, sf_dir).select("ranker", "query_id", "ap"))
+    won = ranking.wins(own.where("ranker = 'bm25'"), own.where("ranker = 'frequency'"))
+    return won.select("queries", "wins", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"))
+
+
+# indexes on disk and pages at hand
+
+
+@query(sql.PAGES + "SELECT term, doc_id, CAST(tf AS INTEGER) AS tf, array_to_string(positions, ' ') AS positions, array_to_string(title_positions, ' ') AS titles FROM post")
+def storage_round_trip(spark, sf_dir):
+    """Saved twice, so that an older generation gives way, and loaded."""
+    path = shared.fresh(spark, "index")
+    storage.save(pages(spark, sf_dir), path)
+    storage.save(storage.load(spark, path), path)
+    return storage.load(spark, path).postings.select("term", "doc_id", "tf", _joined("positions").alias("positions"), _joined("title_positions").alias("titles"))
+
+
+@query(sql.DOCS + sql.LOG + sql.METRICS + "SELECT ranker, query_id, round(p_5, 6) AS p_5, round(rr, 6) AS rr FROM scores")
+def scores_csv_round_trip(spark, sf_dir):
+    path = shared.fresh(spark, "scores")
+    storage.save_scores(_scores(spark, sf_dir).select("ranker", "query_id", F.round("p_5", 6).alias("p_5"), F.round("rr", 6).alias("rr")), path)
+    return spark.read.option("header", True).schema("ranker string, query_id long, p_5 double, rr double").csv(path)
+
+
+@query(sql.PAGES + sql.find(["the", "of"], "bm25"))
+def find_bm25f_without_fields(spark, sf_dir):
+    """An index without fields, as older ones are: BM25F falls back to BM25."""
+    own = pages(spark, sf_dir)
+    bare = Index(own.docs.withColumns({c: F.lit(None).cast("int") for c in ("title_length", "body_length")}), own.postings.withColumns({c: F.lit(None).cast("array<int>") for c in ("title_positions", "body_positions")}), own.terms, own.meta)
+    return retrieve.find(bare, "the of", ranker="bm25f").select("doc_id", "url", "score", F.array_join("matched_terms", " ").alias("matched_terms"))
+
+
+_LINKS = "SELECT DISTINCT url AS src, i - 1 AS pos, root || link AS dst FROM (SELECT regexp_replace(url, '#.*$', '') AS url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM (SELECT url, list_filter(list_transform(regexp_extract_all(html, '<a\\b[^>]*\\bhref=\"([^\"]*)\"', 1), lambda x: replace(trim(x), '&amp;', '&')), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(javascript:|mailto:|tel:|#)')) AS l FROM pages)) WHERE starts_with(link, '/')"
+
+
+@query(_LINKS)
+def page_links(spark, sf_dir):
+    """Resolved links on each page's own host."""
+    own = _table(spark, sf_dir, "pages").select(text.url_normalised(F.col("url")).alias("url"), "html")
+    return crawl.links_of(own).distinct().select("src", F.col("pos").cast("long").alias("pos"), "dst")
+
+
+@query("SELECT url, min(doc_id) AS doc_id FROM (SELECT url, page_id AS doc_id FROM pages) GROUP BY url")
+def doc_id_by_url(spark, sf_dir):
+    return pages(spark, sf_dir).docs.groupBy("url").agg(F.min("doc_id").alias("doc_id"))
 
 
 __all__ = ["ORACLES", "QUERIES", "boolean"]

@@ -106,7 +106,7 @@ w AS (SELECT t.doc_id, toks, CAST(coalesce(pos, 0) AS INTEGER) AS start FROM t L
 
 
 _S = {r: score(r, "") for r in ("frequency", "tfidf", "bm25")}
-LOG = f""", log AS (SELECT item_id AS query_id, unnest(q) AS term, generate_subscripts(q, 1) - 1 AS qpos FROM (SELECT item_id, {tokens('text')}[1:2] AS q FROM benchmark)),
+LOG = f""", log AS (SELECT item_id AS query_id, unnest(q) AS term, generate_subscripts(q, 1) - 1 AS qpos FROM (SELECT item_id, {tokens('text')} AS q FROM benchmark)),
 terms AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 asked AS (SELECT query_id, term, count(*) AS times FROM log GROUP BY ALL),
 size AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id),
@@ -124,9 +124,10 @@ scores AS (SELECT r.ranker, q.query_id, coalesce(h5 / 5.0::DOUBLE, 0) AS p_5, co
 FROM (SELECT DISTINCT ranker FROM run) r CROSS JOIN (SELECT DISTINCT query_id FROM log) q LEFT JOIN agg ON agg.ranker = r.ranker AND agg.query_id = q.query_id, (SELECT count(*) AS nrel FROM good))
 """
 _IDF = "log10(1 + (num_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
-FEATURES = f""", mean AS (SELECT query_id, round(sum({_IDF} * times) / sum(times), 6) AS avg_query_idf FROM asked JOIN terms USING (term), facts GROUP BY query_id)
-SELECT query_id, doc_id, round(bm25_sum, 6) AS bm25_sum, round(tfidf_sum, 6) AS tfidf_sum, freq_sum, docs.length::DOUBLE AS doc_length, matched_terms, avg_query_idf
-FROM (SELECT query_id, doc_id, sum({_S['bm25']} * times) AS bm25_sum, sum({_S['tfidf']} * times) AS tfidf_sum, sum(tf * times)::DOUBLE AS freq_sum, sum(times)::DOUBLE AS matched_terms FROM hits GROUP BY ALL) JOIN run USING (query_id, doc_id) JOIN docs USING (doc_id) JOIN mean USING (query_id) WHERE ranker = 'bm25'"""
+FEATURES = f""", mean AS (SELECT query_id, round(sum({_IDF} * times) / sum(times), 6) AS avg_query_idf FROM asked JOIN terms USING (term), facts GROUP BY query_id),
+own AS (SELECT query_id, doc_id, round(sum({_S['bm25']} * times), 6) AS bm25_sum, round(sum({_S['tfidf']} * times), 6) AS tfidf_sum, sum(tf * times)::DOUBLE AS freq_sum, sum(times)::DOUBLE AS matched_terms FROM hits GROUP BY ALL)
+SELECT query_id, doc_id, coalesce(bm25_sum, 0) AS bm25_sum, coalesce(tfidf_sum, 0) AS tfidf_sum, coalesce(freq_sum, 0) AS freq_sum, length::DOUBLE AS doc_length, coalesce(matched_terms, 0) AS matched_terms, coalesce(avg_query_idf, 0) AS avg_query_idf
+FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) CROSS JOIN docs LEFT JOIN own USING (query_id, doc_id) LEFT JOIN mean USING (query_id)"""
 _WEIGHT = "(1 + ln({n}::DOUBLE)) * (ln((1 + num_docs)::DOUBLE / (1 + df)) + 1)"
 COSINE = f""", norms AS (SELECT doc_id, sqrt(sum(pow({_WEIGHT.format(n='tf')}, 2))) AS norm FROM post JOIN terms USING (term), facts GROUP BY doc_id),
 weights AS (SELECT query_id, term, df, num_docs, {_WEIGHT.format(n='times')} AS w FROM asked JOIN terms USING (term), facts),
