@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from textloom.sources import shared
 from textloom.llm import (
     components, curve_packing, dom_marginals, katz_backoff, labelled_pages, packed, piece_backtracking, pu_quality, repeat_automata, rule_forest, simhash_groups, subwords, tables, token_files, weighted_fingerprints as wf, wordscan,
 )
@@ -229,7 +230,7 @@ def test_token_files(docs, none):
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted(d for d, _ in plain())
     assert token_files.round_trip(none, P.path("word_bpe_49k.json")).collect() == []
     # a folder says all that its reader needs
-    path = f"{tables.folder(docs.sparkSession)}/files-of-ids"
+    path = f"{shared.folder(docs.sparkSession)}/files-of-ids"
     token_files.write_ids(token_files.tokenised(docs, P.path("word_bpe_49k.json"), False, 2), path, 3)
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_ids(docs.sparkSession, path).collect()) == want
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textloom.sources import shared
+
 #: Bytes of text that one task is meant to hold.
 TASK_BYTES = 8 << 20
 #: Bytes of text from which tasks grow with the root of the input.
@@ -113,33 +113,7 @@ def by_range(rows: DataFrame, parts: int, *more: str) -> DataFrame:
 
 def keep(df: DataFrame) -> DataFrame:
     """A written copy in the shared folder of spark.checkpoint.dir; cuts the lineage, survives lost executors, goes when the session does."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gone_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def gone_at_end(spark: SparkSession, path: str) -> None:
-    """The folder is deleted when the driver's JVM ends."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-
-
-def folder(spark: SparkSession) -> str:
-    """Where tables and files are kept: a folder that the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)).rstrip("/")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """For sessions without a shared folder, as in local tests."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return shared.kept(df)
 
 
 def to_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

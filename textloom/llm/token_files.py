@@ -12,7 +12,6 @@ so a folder can be read without anything from the session that wrote it.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources import shared
+
 from . import tables
 from .subwords import byte_level
 
@@ -167,9 +168,8 @@ def round_trip(docs: DataFrame, tokenizer: str, task_bytes: int = tables.TASK_BY
     spark = docs.sparkSession
     parts = tables.tasks_for(tables.text_bytes(tables.texts(docs)), task_bytes)
     tokens = tables.keep(tokenised(docs, tokenizer, False, END_ID))
-    path = f"{tables.folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = shared.fresh(spark, "tokens")
     write_ids(tokens, path, parts)
-    tables.gone_at_end(spark, path)
     return read_ids(spark, path)
 
 
