@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from .wordscan import IS_SPACE, U, buffers, runs, scan, span_hashes
@@ -52,20 +53,17 @@ def _from_starts(found: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tup
     return start, np.append(start[1:], len(data)) if len(start) else start
 
 
-def _ends_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size, first and last eight bytes of each stretch: all of it, if it has no more than sixteen."""
+def _proof(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second 64 bits of each stretch, from its size and its first and last eight bytes, made in another way than the hash."""
     wide = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(wide) - 7,), "<u8", wide, 0, (1,))
-    size = end - start
-    short = U(8) * (U(8) - np.minimum(size, 8).astype(U))  # bits to drop
-    shift = np.minimum(short, U(63))
-    head = np.where(size > 0, eight[start + 8] << shift, U(0))
-    tail = np.where(size > 0, eight[end] >> shift, U(0))
-    return size, head, tail
+    size = (end - start).astype(U)
+    drop = U(64) - (np.minimum(size, U(8)) << U(3))  # bits of what stands around a short one
+    return (eight[start + 8] << drop) * U(0x9FB21C651E98DF25) + (eight[end] >> drop) + size
 
 
 class Stretches:
-    """Ids of stretches by their hash; size and sixteen bytes of a stretch are compared as well, so that one of other text is never taken for it unless it is longer and its hash is the same.
+    """Ids of stretches by their hash. A second 64 bits are compared on each hit, so a stretch is taken for another with a chance of 2^-128 a pair.
 
     encode takes texts and their sizes in bytes, and gives parts: places in the texts, all
     ids of these texts in order, and how many each has.
@@ -77,10 +75,10 @@ class Stretches:
 
     def _clear(self) -> None:
         self.hash, self.entry = np.zeros(0, U), np.zeros(0, np.int64)
-        self.ends = np.zeros((3, 0), U)
+        self.proof = np.zeros(0, U)
         self.at, self.flat, self.used, self.entries = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0, 0
 
-    def _learn(self, h: np.ndarray, ends: np.ndarray, texts: list[str], bytes_of: np.ndarray) -> None:
+    def _learn(self, h: np.ndarray, proof: np.ndarray, texts: list[str], bytes_of: np.ndarray) -> None:
         places, ids, sizes = zip(*self.encode(texts, bytes_of), strict=True)
         flat, size = np.concatenate(ids), np.concatenate(sizes)
         if self.used + len(flat) > len(self.flat):
@@ -93,26 +91,33 @@ class Stretches:
         place = np.searchsorted(self.hash, h)
         self.entry = np.insert(self.entry, place, entry)
         self.hash = np.insert(self.hash, place, h)
-        self.ends = np.insert(self.ends, place, ends, axis=1)
+        self.proof = np.insert(self.proof, place, proof)
         self.entries += len(h)
 
-    def _look(self, h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _look(self, h: np.ndarray, proof: np.ndarray) -> np.ndarray:
         """The entry of each stretch; -1: unknown, -2: another text has its hash."""
         if not len(self.hash):
             return np.full(len(h), -1)
         place = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[place] != h, -1, np.where((self.ends[:, place] == ends).all(axis=0), self.entry[place], -2))
+        return np.where(self.hash[place] != h, -1, np.where(self.proof[place] == proof, self.entry[place], -2))
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of documents, and their bounds by document."""
         start, end = self.cut(data, bounds)
         names = span_hashes(data, start, end)
-        h, first, back = np.unique(names, return_index=True, return_inverse=True)
-        ends = np.stack([x.astype(U) for x in _ends_of(data, start, end)])
+        place, h = pd.factorize(names)  # without a sort of all
+        order = np.argsort(h)
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        h, back = h[order], rank[place]
+        first = np.empty(len(h), np.int64)
+        first[back[::-1]] = np.arange(len(names) - 1, -1, -1)
+        proof = _proof(data, start, end)
+        of_first = proof[first]
         if self.entries + len(h) > REMEMBERED:
             self._clear()
-        found = self._look(h, ends[:, first])
-        if (ends != ends[:, first][:, back]).any() or (found == -2).any():  # equal hashes of different texts
+        found = self._look(h, of_first)
+        if (proof != of_first[back]).any() or (found == -2).any():  # equal hashes of different texts
             raw = data.tobytes()
             parts = self.encode([raw[x:y].decode() for x, y in zip(start.tolist(), end.tolist(), strict=True)], end - start)
             own: list = [None] * len(start)
@@ -125,8 +130,8 @@ class Stretches:
         if len(new):
             raw = data.tobytes()
             a, b = start[first[new]], end[first[new]]
-            self._learn(h[new], ends[:, first[new]], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a)
-            found = self._look(h, ends[:, first])
+            self._learn(h[new], of_first[new], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a)
+            found = self._look(h, of_first)
         entry = found[back]
         size = self.at[entry + 1] - self.at[entry]
         stop = np.cumsum(size)
@@ -156,8 +161,8 @@ def one_by_one(encode: Callable[[list[str]], list[list[int]]]):
 def _joined(tok, spaced: bool):
     """An encoder that puts GROUP stretches into one text, where cuts hold as well, and finds them again by the tokens' bytes.
 
-    Without white space between them only ASCII words are joined, by spaces, since other
-    letters can change their size in normalisation.
+    Without white space between them words are joined by spaces; those with other than ASCII
+    letters can change their size in normalisation, so it is taken from the normalised text.
     """
     widths = np.zeros(max(tok.get_vocab().values()) + 1, np.int64)
     for piece, i in tok.get_vocab().items():
@@ -165,26 +170,33 @@ def _joined(tok, spaced: bool):
     white = set(" \t\n\r\v\f")
 
     def easy(s: str) -> bool:
-        return (s[0] in white and (s[-1].isalnum() or (s[-1].isascii() and s[-1] > " "))) if spaced else s.isascii()
+        return s[0] in white and (s[-1].isalnum() or (s[-1].isascii() and s[-1] > " "))
+
+    def normal(texts: list[str]) -> np.ndarray | None:
+        """Sizes in bytes of words after normalisation; none if it changes their number."""
+        parts = tok.normalizer.normalize_str(" ".join(texts)).split(" ")
+        return np.array([len(x.encode()) for x in parts]) if len(parts) == len(texts) else None
 
     def run(texts: list[str], sizes: np.ndarray):
-        simple = np.fromiter(map(easy, texts), bool, len(texts))
+        plain = np.fromiter(map(str.isascii, texts), bool, len(texts))
+        simple = np.fromiter(map(easy, texts), bool, len(texts)) if spaced else np.full(len(texts), tok.normalizer is not None) | plain
         rest = [np.flatnonzero(~simple)]
-        places = np.flatnonzero(simple)
-        groups = [places[i : i + GROUP] for i in range(0, len(places), GROUP)]
+        groups = [places[i : i + GROUP] for kind in ((simple,) if spaced else (simple & plain, simple & ~plain)) for places in [np.flatnonzero(kind)] for i in range(0, len(places), GROUP)]
         glue = "" if spaced else " "
         for g, found in zip(groups, tok.encode_batch_fast([glue.join([texts[k] for k in g.tolist()]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
-            stop, want = np.cumsum(widths[ids]), np.cumsum(sizes[g])
-            cut = np.searchsorted(stop, want) + 1
-            if len(stop) and cut[-1] == len(ids) and np.array_equal(stop[cut - 1], want):
-                yield g, ids, np.diff(cut, prepend=0)
-            else:
-                rest.append(g)
+            own = sizes[g] if spaced or plain[g[0]] else normal([texts[k] for k in g.tolist()])
+            if own is not None:
+                stop, want = np.cumsum(widths[ids]), np.cumsum(own)
+                cut = np.searchsorted(stop, want) + 1
+                if len(stop) and cut[-1] == len(ids) and np.array_equal(stop[np.minimum(cut, len(stop)) - 1], want):
+                    yield g, ids, np.diff(cut, prepend=0)
+                    continue
+            rest.append(g)
         left = np.concatenate(rest)
         if len(left):
-            plain = one_by_one(lambda t: [x.ids for x in tok.encode_batch_fast(t, add_special_tokens=False)])
-            for _, ids, size in plain([texts[k] for k in left.tolist()], sizes):
+            single = one_by_one(lambda t: [x.ids for x in tok.encode_batch_fast(t, add_special_tokens=False)])
+            for _, ids, size in single([texts[k] for k in left.tolist()], sizes[left]):
                 yield left, ids, size
 
     return run
