@@ -24,7 +24,7 @@ from .wordscan import IS_SPACE, U, buffers, runs, scan, span_hashes
 #: Distinct stretches that a worker remembers, and bytes of text looked up at a time.
 REMEMBERED, STRETCH_BYTES = 1 << 21, 2 << 20
 #: Stretches in one call of the tokenizer.
-GROUP = 128
+GROUP = 512
 
 
 def cut_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,8 @@ class Stretches:
         self.proof = np.zeros(0, U)
         self.at, self.flat, self.used, self.entries = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0, 0
 
-    def _learn(self, h: np.ndarray, proof: np.ndarray, texts: list[str], bytes_of: np.ndarray) -> None:
+    def _learn(self, h: np.ndarray, proof: np.ndarray, texts: list[str], bytes_of: np.ndarray) -> np.ndarray:
+        """The entries of new stretches, given by rising hash."""
         places, ids, sizes = zip(*self.encode(texts, bytes_of), strict=True)
         flat, size = np.concatenate(ids), np.concatenate(sizes)
         if self.used + len(flat) > len(self.flat):
@@ -93,6 +94,7 @@ class Stretches:
         self.hash = np.insert(self.hash, place, h)
         self.proof = np.insert(self.proof, place, proof)
         self.entries += len(h)
+        return entry
 
     def _look(self, h: np.ndarray, proof: np.ndarray) -> np.ndarray:
         """The entry of each stretch; -1: unknown, -2: another text has its hash."""
@@ -105,18 +107,15 @@ class Stretches:
         """All ids of a run of documents, and their bounds by document."""
         start, end = self.cut(data, bounds)
         names = span_hashes(data, start, end)
-        place, h = pd.factorize(names)  # without a sort of all
+        back, h = pd.factorize(names)  # without a sort of all; numbered as they first stand
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))
         order = np.argsort(h)
-        rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h))
-        h, back = h[order], rank[place]
-        first = np.empty(len(h), np.int64)
-        first[back[::-1]] = np.arange(len(names) - 1, -1, -1)
         proof = _proof(data, start, end)
         of_first = proof[first]
         if self.entries + len(h) > REMEMBERED:
             self._clear()
-        found = self._look(h, of_first)
+        found = np.empty(len(h), np.int64)
+        found[order] = self._look(h[order], of_first[order])
         if (proof != of_first[back]).any() or (found == -2).any():  # equal hashes of different texts
             raw = data.tobytes()
             parts = self.encode([raw[x:y].decode() for x, y in zip(start.tolist(), end.tolist(), strict=True)], end - start)
@@ -126,17 +125,17 @@ class Stretches:
                     own[k] = x
             before = np.cumsum([0, *map(len, own)])
             return np.concatenate(own).astype(np.uint32), before[np.searchsorted(start, bounds)]
-        new = np.flatnonzero(found < 0)
+        new = order[found[order] < 0]
         if len(new):
             raw = data.tobytes()
             a, b = start[first[new]], end[first[new]]
-            self._learn(h[new], of_first[new], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a)
-            found = self._look(h, of_first)
-        entry = found[back]
-        size = self.at[entry + 1] - self.at[entry]
-        stop = np.cumsum(size)
-        out = self.flat[np.repeat(self.at[entry] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        before = np.concatenate([[0], stop])
+            found[new] = self._learn(h[new], of_first[new], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a)
+        at = self.at[found]
+        size = (self.at[found + 1] - at)[back]
+        before = np.concatenate([[0], np.cumsum(size)])
+        step = np.repeat(at[back] - before[:-1], size)
+        step += np.arange(len(step))
+        out = self.flat[step]
         return out, before[np.searchsorted(start, bounds)]
 
     def batches(self, arr: pa.Array):

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from textloom.sources import shared
 
@@ -104,11 +103,11 @@ def by_range(rows: DataFrame, parts: int, *more: str) -> DataFrame:
     """Rows with columns key, tie and weight dealt out by ranges of (key, tie) of about even weight, and sorted by both, and more, in each."""
     cuts = ranges(rows.select("key", "tie", "weight"), parts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cuts.of(b["key"].to_numpy(), b["tie"].to_numpy()), pa.int32())], [*b.schema.names, "range"])
+    @F.arrow_udf(IntegerType())
+    def of(key: pa.Array, tie: pa.Array) -> pa.Array:  # the other columns stay in the JVM
+        return pa.array(cuts.of(key.to_numpy(), tie.to_numpy()), pa.int32())
 
-    return deal(rows.mapInArrow(run, with_columns(rows.schema, [("range", "integer")])), len(cuts), "range").drop("range").sortWithinPartitions("key", "tie", *more)
+    return deal(rows.withColumn("range", of("key", "tie")), len(cuts), "range").drop("range").sortWithinPartitions("key", "tie", *more)
 
 
 def keep(df: DataFrame) -> DataFrame:

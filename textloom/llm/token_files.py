@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +53,22 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return (raw[at] | raw[at + 1] << np.uint32(8) | raw[at + 2] << np.uint32(16) | raw[at + 3] << np.uint32(24)) & _MASK[size]
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(ids: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4" if len(ids) and ids.max() > 0xFFFF else "<u2").tobytes()) + (b"4" if len(ids) and ids.max() > 0xFFFF else b"2")
+    wide = len(ids) and ids.max() > 0xFFFF
+    return _zstd()[0].compress(ids.astype("<u4" if wide else "<u2").tobytes()) + (b"4" if wide else b"2")
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[:-1]), "<u4" if data[-1:] == b"4" else "<u2").astype(np.uint32)
+    return np.frombuffer(_zstd()[1].decompress(data[:-1]), "<u4" if data[-1:] == b"4" else "<u2").astype(np.uint32)
 
 
 def tokenised(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
-    """doc_id, n and ids (squeezed, the end id last) of each document; a null text is empty."""
+    """doc_id, n, ids (squeezed, the end id last) and tie (a hash of them) of each document; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = byte_level(path, spaced)
@@ -70,17 +77,31 @@ def tokenised(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFram
                 out = [np.append(ids[x:y], np.uint32(end_id)) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, len(out)), pa.array([len(x) for x in out], pa.int64()), pa.array(list(map(squeeze, out)), pa.binary())], ["doc_id", "n", "ids"])
 
-    return tables.texts(docs).mapInArrow(run, "doc_id long, n long, ids binary")
+    return tables.texts(docs).mapInArrow(run, "doc_id long, n long, ids binary").withColumn("tie", F.xxhash64("ids"))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def add() -> None:
+        nonlocal total, size
+        c = np.bincount(np.concatenate(held))
+        if len(c) > len(total):
+            c, total = total, c
+        total[: len(c)] += c
+        held.clear()
+        size = 0
+
     for b in batches:
         for x in b["ids"]:
-            c = np.bincount(unsqueeze(x.as_py()))
-            if len(c) > len(total):
-                c, total = total, c
-            total[: len(c)] += c
+            held.append(unsqueeze(x.as_py()))
+            size += len(held[-1])
+            if size > BLOCK_IDS:
+                add()
+    if held:
+        add()
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
@@ -118,13 +139,13 @@ def _blocks(rank: np.ndarray):
 
 
 def write_ids(tokens: DataFrame, path: str, parts: int) -> None:
-    """Blocks and ranks at path: rows (doc_id, n, ids) in ascending doc_id order over the parts (null first; ties by a hash of their ids, then by ids)."""
+    """Blocks and ranks at path: rows (doc_id, n, ids, tie) in ascending doc_id order over the parts (null first; ties by a hash of their ids, then by ids)."""
     spark = tokens.sparkSession
-    counted = tokens.mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
+    counted = tokens.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
     ordered = np.array([i for _, i in sorted((-r["n"], r["id"]) for r in counted)], np.uint32)
     rank = np.zeros(int(ordered.max()) + 1 if len(ordered) else 1, np.uint32)
     rank[ordered] = np.arange(len(ordered), dtype=np.uint32)
-    keyed = tokens.select("doc_id", "ids", F.coalesce("doc_id", F.lit(tables.LOW)).alias("key"), F.xxhash64("ids").alias("tie"), F.col("n").alias("weight"))
+    keyed = tokens.select("doc_id", "ids", F.coalesce("doc_id", F.lit(tables.LOW)).alias("key"), "tie", F.col("n").alias("weight"))
     tables.by_range(keyed, parts, "ids").select("doc_id", "ids").mapInArrow(_blocks(rank), _ROW).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(VERSION, bytearray(ordered.astype("<u4").tobytes()))], _RANKS).coalesce(1).write.parquet(f"{path}/ranks")
 
