@@ -318,13 +318,24 @@ def test_snippets_and_codes_are_linear_and_equal_brute_force(spark):
 
 
 def test_stream(spark, tmp_path):
-    from textloom.streaming import append_postings
+    from textloom.streaming import append_postings, appended
 
-    rows = spark.createDataFrame([(1, "u", "", "a b a")], "doc_id long, url string, title string, text string")
-    rows.write.parquet(str(tmp_path / "in"))
-    q = append_postings(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "mark"))
-    q.awaitTermination(60)
-    assert {r["term"]: r["tf"] for r in spark.read.parquet(str(tmp_path / "out" / "postings")).collect()} == {"a": 2, "b": 1}
+    into, out = str(tmp_path / "in"), str(tmp_path / "out")
+    kind = "doc_id long, url string, title string, text string"
+    with pytest.raises(storage.StorageError):
+        appended(spark, out)
+    pages = [(1, "u", "", "a b a"), (2, "v", "B", "c"), (3, "w", None, None)]
+    for part in (pages[:1], pages[1:]):
+        spark.createDataFrame(part, kind).write.mode("append").parquet(into)
+        append_postings(spark.readStream.schema(kind).parquet(into), out, str(tmp_path / "mark")).awaitTermination(60)
+    (tmp_path / "out" / "postings" / "batch=9").mkdir()  # one that broke off
+    found, whole = appended(spark, out), build_index(spark.createDataFrame(pages, kind))
+    for name in ("docs", "postings", "terms", "facts"):
+        rows = [sorted(map(str, getattr(x, name).select(getattr(whole, name).columns).collect())) for x in (found, whole)]
+        assert rows[0] == rows[1]
+    storage.save(found, str(tmp_path / "saved"))
+    back = storage.load(spark, str(tmp_path / "saved"))
+    assert sorted(ids(retrieve.find(back, "b"))) == [1, 2]
 
 
 def test_print_term(spark):
