@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from textloom.llm import near_copies
@@ -82,3 +83,43 @@ def test_exact_groups_against_all_pairs():
                 a, b = sorted((want[i], want[j]))
                 want = [a if x == b else x for x in want]
         assert label.tolist() == want
+
+
+def test_fingerprints_link_by_themselves(spark, monkeypatch):
+    """Without the MinHash keys, the stage still finds what SimHash fingerprints bring within its limit, and only that."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(900)]
+        other = list(base)
+        other[rng.randrange(len(base))] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    prints = [int(near_copies.vote(h, np.zeros(1, int))[0]) for h in (s[3] for t in texts for s in near_copies.shingles(pa.array([t])))]
+    near = {i for i in range(0, 24, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= near_copies.NEAR_BITS}
+    assert len(near) > 6
+
+    def silent(batches):
+        yield from (b.slice(0, 0).rename_columns(["a", "b"]) for b in batches)
+
+    monkeypatch.setattr(near_copies, "_met", silent)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(range(24)) - {i + 1 for i in near}
+
+
+def test_links_by_fingerprints_against_all_pairs(spark):
+    rng = random.Random(9)
+    prints = [rng.getrandbits(64) for _ in range(20)]
+    for _ in range(150):
+        x = rng.choice(prints)
+        for _ in range(rng.randrange(6)):
+            x ^= 1 << rng.randrange(64)
+        prints.append(x)
+    rows = [(k, x - (1 << 64) if x >> 63 else x) for k, x in enumerate(prints)]
+    found = near_copies.components(near_copies.by_prints(spark.createDataFrame(rows, "name long, fp long")))
+    want = list(range(len(prints)))
+    for i, j in combinations(range(len(prints)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 3 and want[i] != want[j]:
+            a, b = sorted((want[i], want[j]))
+            want = [a if x == b else x for x in want]
+    assert {r["node"]: r["root"] for r in found.collect()} == {k: x for k, x in enumerate(want) if want.count(x) > 1}

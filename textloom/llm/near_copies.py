@@ -1,11 +1,12 @@
 """Near copies: texts whose sets of five-word runs have a Jaccard similarity of 0.8 or more.
 
-SimHash can't serve here: at 0.8 its fingerprints differ in 7 of 64 bits on average, and
-in more for many pairs, too far to search without comparing most pairs. So candidates
-meet by MinHash: BANDS keys of ROWS minima each. A pair at 0.8 shares no key with
-probability (1 - 0.8^5)^40 = 1.3e-7, a closer pair with less. Texts joined by keys form a
-cluster; in each, all pairs that can matter are compared by their exact sets. A cluster of
-over BLOCK sets is worked on in blocks, so no task holds more than two of them.
+Candidates come from the SimHash operator of `simhash_groups`, here over the sets and with
+a limit of NEAR_BITS. At 0.8 fingerprints differ in 7 of 64 bits on average, and in more
+for many pairs, too far to search without comparing most pairs. So that none of these is
+lost, candidates also meet by MinHash: BANDS keys of ROWS minima each. A pair at 0.8 shares
+no key with probability (1 - 0.8^5)^40 = 1.3e-7, a closer pair with less. Texts joined by
+either form a cluster; in each, all pairs that can matter are compared by their exact sets.
+A cluster of over BLOCK sets is worked on in blocks, so no task holds more than two of them.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from . import tables
 from .components import components, local_forest
+from .simhash_groups import links, vote
 from .wordscan import U, buffers, grams, mix, runs, scan
 
-SHINGLE, BANDS, ROWS, BLOCK = 5, 40, 5, 4096
+SHINGLE, BANDS, ROWS, BLOCK, NEAR_BITS = 5, 40, 5, 4096, 3
 #: Similarity wanted, as a fraction.
 OVER, UNDER = 4, 5
 _FACTOR = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
@@ -50,13 +52,17 @@ def _starts(owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
 
 
+def _name(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(np.add.reduceat(mix(h ^ U(0x5E7)), at) + np.diff(np.r_[at, len(h)]).astype(U))
+
+
 def set_names(arr: pa.Array) -> np.ndarray:
     """A hash of each text's set; zero for texts without words."""
     out = np.zeros(len(arr), U)
     for _, _, owner, h in shingles(arr):
         if len(h):
             at = _starts(owner)
-            out[owner[at]] = mix(np.add.reduceat(mix(h ^ U(0x5E7)), at) + np.diff(np.r_[at, len(h)]).astype(U))
+            out[owner[at]] = _name(h, at)
     return out
 
 
@@ -75,16 +81,17 @@ def _bands(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text = b["text"]
-        name, size = set_names(text), np.zeros(len(text), np.int64)
+        name, fp, size = np.zeros(len(text), U), np.zeros(len(text), U), np.zeros(len(text), np.int64)
         flat = []
         for _, _, owner, h in shingles(text):
             if len(h):
+                at = _starts(owner)
                 place, keys = _bands(owner, h)
-                size[place] = BANDS
+                name[place], fp[place], size[place] = _name(h, at), vote(h, at), BANDS
                 flat.append(keys.ravel())
         values = np.concatenate([np.zeros(0, U), *flat]).view(np.int64)
         keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(values))
-        yield pa.RecordBatch.from_arrays([b["place"], pa.array(name.view(np.int64)), keys], ["place", "name", "keys"])
+        yield pa.RecordBatch.from_arrays([b["place"], pa.array(name.view(np.int64)), pa.array(fp.view(np.int64)), keys], ["place", "name", "fp", "keys"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +266,20 @@ def _large(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(found.unionByName(near)).select(F.col("node").alias("name"), F.col("root").alias("chief"))
 
 
+def by_prints(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between sets (name, fp) whose SimHash fingerprints differ in NEAR_BITS at most: same components as all of these."""
+    heads = tables.keep(nodes.groupBy("fp").agg(F.min("name").alias("head")))
+    equal = nodes.join(heads, "fp").where("name != head").select(F.col("head").alias("a"), F.col("name").alias("b"))
+    near = links(heads.select("fp"), NEAR_BITS).withColumnsRenamed({"a": "fp", "b": "other"})
+    near = near.join(heads, "fp").select(F.col("other").alias("fp"), F.col("head").alias("a")).join(heads, "fp").select("a", F.col("head").alias("b"))
+    return equal.unionByName(near)
+
+
 def groups(rows: DataFrame) -> DataFrame:
     """(name, least, chief) of each different set of rows (place, text): least place, and a set that stands for the group."""
-    nodes = tables.keep(rows.mapInArrow(_marked, "place long, name long, keys array<long>").groupBy("name").agg(F.min("place").alias("least"), F.any_value("keys").alias("keys")))
+    nodes = tables.keep(rows.mapInArrow(_marked, "place long, name long, fp long, keys array<long>").groupBy("name").agg(F.min("place").alias("least"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")))
     met = nodes.select("name", F.explode("keys").alias("key")).repartition("key").mapInArrow(_met, "a long, b long")
-    clusters = tables.keep(nodes.select("name", F.col("least").alias("place")).join(components(met).withColumnRenamed("node", "name"), "name"))
+    clusters = tables.keep(nodes.select("name", F.col("least").alias("place")).join(components(met.unionByName(by_prints(nodes.where("size(keys) > 0").select("name", "fp")))).withColumnRenamed("node", "name"), "name"))
     crowds = tables.keep(clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"))
     named = rows.mapInArrow(_named(rows.columns.index("text")), tables.with_columns(rows.schema, [("name", "long")]))
     members = named.join(clusters, ["place", "name"]).select("root", "name", "text")

@@ -4,7 +4,8 @@ Fingerprints: 64 bits over runs of three words. Distinct fingerprints that diffe
 at most two bits are linked: of four blocks of 16 bits at least two are equal, so
 candidates meet under one of six keys. A key with more than MOST_IN_GROUP
 fingerprints is split by thirds of its free bits, one of which must be equal as
-well, at most twice; that leaves at most 2^15 in a group. Each group is sorted by Gray
+well, at most twice; that leaves at most 2^15 in a group. Another limit of bits takes two
+blocks more than the limit, and parts one more than it. Each group is sorted by Gray
 rank and searched through a tree whose upper nodes hold the bits that all below
 share; differences add up on the way down, and a node over the limit is left out
 with all below it.
@@ -33,16 +34,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _thirds(mask: int) -> list[int]:
-    """The mask with one third of its free bits added, in three ways."""
+def _parts(mask: int, n: int) -> list[int]:
+    """The mask with one of n parts of its free bits added, in n ways."""
     free = [i for i in range(64) if not mask >> i & 1]
-    cut = [len(free) * i // 3 for i in range(4)]
+    cut = [len(free) * i // n for i in range(n + 1)]
     return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-BLOCKS = [0xFFFF << (16 * i) for i in range(4)]
-LEVELS = [[x | y for x, y in combinations(BLOCKS, 2)]]
-LEVELS.append([m for x in LEVELS[0] for m in _thirds(x)])
+def levels(most: int = MOST_BITS) -> list[list[int]]:
+    """Masks under which fingerprints of at most so many differing bits meet, and those that split crowded keys."""
+    first = [x | y for x, y in combinations(_parts(0, most + 2), 2)]
+    return [first, [m for x in first for m in _parts(x, most + 1)]]
+
+
+def vote(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Fingerprints (unsigned) of runs of hashes that begin at places: a bit is 1 if set in over half of them."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+    total = np.diff(np.r_[start, len(h)])
+    return np.packbits(2 * ones > total[:, None], axis=1).view(">u8").ravel().astype(U)
 
 
 def simhash(arr: pa.Array, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -72,10 +82,7 @@ def simhash(arr: pa.Array, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
         h = np.array([one(raw[a:b], seed) for a, b in zip(to[first].tolist(), (to[end] - 1).tolist(), strict=True)], U)
         owner = w.doc[first]
         start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
-        total = np.diff(np.r_[start, len(owner)])
-        out[i + owner[start]] = np.packbits(2 * ones > total[:, None], axis=1).view(">u8").ravel().astype(U)
+        out[i + owner[start]] = vote(h, start)
     return out
 
 
@@ -129,7 +136,7 @@ class GrayIndex:
         return q, node
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows of whole groups: mask, value and fingerprint. A forest over the links between them."""
     got = [[b[c].to_numpy(zero_copy_only=False) for c in ("mask", "value", "fp")] for b in batches]
     if not got:
@@ -145,14 +152,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for step in range(1, FAN):
         i = few[few + step < len(fp)]
         i = i[group[i] == group[i + step]]
-        i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= MOST_BITS]
+        i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= most]
         a.append(fp[i])
         b.append(fp[i + step])
     for g in np.flatnonzero(size > FAN):
         own = fp[new[g] : new[g] + size[g]]
         tree = GrayIndex(own)
         for k in range(0, len(own), 512):
-            q, node = tree.search(own[k : k + 512])
+            q, node = tree.search(own[k : k + 512], most)
             x, y = own[k + q], tree.prints[node]
             a.append(x[x > y])
             b.append(y[x > y])
@@ -167,16 +174,17 @@ def _masks(column, masks: list[int]):
     return F.explode(F.array(*[F.struct(F.lit(_signed(m)).cast("long").alias("mask"), F.col(column).bitwiseAND(F.lit(_signed(m)).cast("long")).alias("value")) for m in masks]))
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Forest links (a, b) of distinct fingerprints in column fp: same components as all links of at most two bits."""
-    rows = prints.select("fp", _masks("fp", LEVELS[0]).alias("k")).select("k.mask", "k.value", "fp")
-    for level in LEVELS:
+def links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Forest links (a, b) of distinct fingerprints in column fp: same components as all links of at most so many bits."""
+    masks = levels(most)
+    rows = prints.select("fp", _masks("fp", masks[0]).alias("k")).select("k.mask", "k.value", "fp")
+    for level in masks:
         crowd = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_GROUP).drop("n").withColumn("crowded", F.lit(True))
-        next_masks = F.create_map(*[x for m in level for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(t)).cast("long") for t in _thirds(m)]))])
+        next_masks = F.create_map(*[x for m in level for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(t)).cast("long") for t in _parts(m, most + 1)]))])
         marked = rows.join(crowd, ["mask", "value"], "left")
         to = F.when(F.col("crowded") & next_masks[F.col("mask")].isNotNull(), next_masks[F.col("mask")]).otherwise(F.array("mask"))
         rows = marked.select("fp", F.explode(to).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
-    return rows.repartition("mask", "value").mapInArrow(_links, "a long, b long")
+    return rows.repartition("mask", "value").mapInArrow(lambda batches: _links(batches, most), "a long, b long")
 
 
 def _components(rows: DataFrame) -> DataFrame:
