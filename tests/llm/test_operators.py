@@ -488,6 +488,31 @@ def test_rules(spark, docs, none):
     assert rule_forest.fit(spark, rows, labels.limit(0)) is None and rule_forest.judge(none, forest).collect() == []
 
 
+def test_rules_learn_from_all_labels(spark, monkeypatch):
+    """Threshold and forest against all labelled rows, more than the 20,000 that were once used at most."""
+    rng = np.random.default_rng(6)
+    n = 24_000
+    stats = np.zeros((n, len(rule_forest.COUNTS)), np.int64)
+    stats[:, 0], stats[:, 8] = 400, 9
+    stats[:, 1] = rng.integers(1600, 2400, n)
+    good = rng.random(n) < 0.7
+    stats[:, 2] = np.where(good, rng.integers(0, 6, n), rng.integers(20, 300, n))
+    counted = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(stats)], "doc_id long, counts array<long>").repartition(4)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    drawn, draw = [], rule_forest._draw
+    monkeypatch.setattr(rule_forest, "_draw", lambda known, m: drawn.append((m, known.count(), draw(known, m))) or drawn[0][2])
+    forest = rule_forest.fit_counted(counted, labels)
+    (goods, rows, own), = drawn
+    assert (goods, rows) == (good.sum(), n) and [len(x) for x in own] == [rule_forest.TREE_ROWS] * rule_forest.TREES
+    assert len(np.unique(np.concatenate(own), axis=0)) > 0.5 * len(np.unique(rule_forest.features(stats[good]), axis=0))
+    score = forest.score(rule_forest.features(stats))
+    tried = np.unique(np.ceil(score * rule_forest.CELLS)) / rule_forest.CELLS
+    tried = [t for t in tried if np.mean(score[good] <= t) >= rule_forest.KEEP_GOOD]
+    assert forest.threshold == max(tried, key=lambda t: (np.mean(score[~good] > t) - np.mean(score[good] > t), -t))
+    none = rule_forest.fit_counted(counted, labels.selectExpr("doc_id", "0 as quality"))
+    assert none is None
+
+
 # 6
 
 
