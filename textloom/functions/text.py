@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 BREAK = r"[^\p{L}\p{N}_]+"
 #: Typographic quotes and their plain forms.
 QUOTES, PLAIN = "‘’“”", "''\"\""
+APOSTROPHES = "‘’'"
 
 
 def tokens(text: Column | str) -> Column:
     """Lower-case tokens: quotes made plain, apostrophes dropped, split at everything that is no word character; null gives none."""
     text = F.col(text) if isinstance(text, str) else text
-    plain = F.replace(F.lower(F.translate(F.coalesce(text, F.lit("")), QUOTES, PLAIN)), F.lit("'"), F.lit(""))
-    return F.filter(F.split(plain, BREAK), lambda t: t != "")
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for mark in APOSTROPHES:  # double quotes separate words in either form
+        plain = F.replace(plain, F.lit(mark), F.lit(""))
+    return F.array_remove(F.split(plain, BREAK), "")
 
 
 def url_normalised(url: Column) -> Column:

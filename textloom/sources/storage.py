@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import codecs
 from textloom.functions.codecs import decode_named_blocks
 from textloom.functions.text import tokens
-from textloom.operators.index import VERSION, Index, index_meta
+from textloom.operators.index import VERSION, Index, counted, index_meta, whole_docs, whole_postings
 from textloom.sources.shared import listing
 
 #: Versions that can be read.
@@ -35,19 +35,28 @@ class IndexVersionError(StorageError):
 
 
 def save(index: Index, path: str) -> None:
-    """Four tables; postings sorted by term within files, so that a term's scan prunes row groups.
+    """Four tables; postings sorted by term within files, so that a term's scan prunes row groups or pages.
 
     They are written beside what is there, as a new generation whose meta comes last; only then are
-    older ones deleted. So a save that breaks off leaves the old index readable and whole.
+    older ones deleted. So a save that breaks off leaves the old index readable and whole. An index that
+    was just built has its texts split once: its postings are written with its documents among them, as
+    runs that workers sorted, and the other tables come from what is written.
     """
     spark = index.docs.sparkSession
     old = _generations(spark, path)
     new = f"{path}/{GENERATION}{max(old, default=0) + 1:06d}"
-    for name in TABLES:
-        df = getattr(index, name)
-        if name in ("postings", "terms"):
-            df = df.repartitionByRange("term").sortWithinPartitions("term") if name == "terms" else df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        df.write.mode("overwrite").parquet(f"{new}/{name}")
+    if index.whole is not None:
+        index.whole.write.mode("overwrite").parquet(f"{new}/postings")
+        whole = spark.read.schema(index.whole.schema).parquet(f"{new}/postings")
+        whole_docs(whole).write.mode("overwrite").parquet(f"{new}/docs")
+        counted(whole.where("term IS NOT NULL")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{new}/terms")
+        index_meta(spark.read.parquet(f"{new}/docs"), spark.read.parquet(f"{new}/terms")).write.mode("overwrite").parquet(f"{new}/meta")
+    else:
+        for name in TABLES:
+            df = getattr(index, name)
+            if name in ("postings", "terms"):
+                df = df.repartitionByRange("term").sortWithinPartitions("term") if name == "terms" else df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+            df.write.mode("overwrite").parquet(f"{new}/{name}")
     for number in old:
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{GENERATION}{number:06d}")
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -66,6 +75,8 @@ def load(spark: SparkSession, path: str) -> Index:
     version = found["meta"].select("version").first()
     if version is None or version[0] not in VERSIONS:
         raise IndexVersionError(f"unknown version {version and version[0]}")
+    if "cut" in found["postings"].columns:
+        found["postings"] = whole_postings(found["postings"])
     return Index(**found)
 
 
