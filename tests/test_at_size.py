@@ -5,10 +5,14 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.operators import index, retrieve
+from textloom.operators import fuzzy, index, retrieve
 from textloom.sources import storage
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_texts_are_split_once(spark, tmp_path):
     """Storing an index read and split all texts for each table, twice for sorted ones."""
     seen = spark.sparkContext.accumulator(0)
@@ -47,3 +51,14 @@ def test_runs_of_postings(monkeypatch):
     assert len(got) == len(want) and dict(got) == {k: sorted(v) for k, v in want.items()}
     assert all(r["tf"] == len(r["positions"]) for run in runs for r in run if r["term"])
     assert sorted(r["tf"] for run in runs for r in run if r["term"] is None) == sorted(len(h) + len(b) for _, h, b in rows)
+
+
+def test_dictionary_is_not_broadcast(spark):
+    """The dictionary was, as its size is taken for that of the vocabulary, and the words asked for are of unknown size."""
+    terms = spark.range(2000).select(F.concat(F.lit("word"), "id").alias("term"))
+    found = fuzzy.symspell_lookup(fuzzy.build_symspell(terms, 2), spark.createDataFrame([("word77",), ("wrd9",), ("",)], "word string"), 2, 2)
+    sent = plan_of(found).split("BroadcastExchange")
+    assert len(sent) == 2 and "term#" not in sent[1] and "length(" in sent[0]
+    got = {(r["word"], r["term"], r["distance"]) for r in found.collect()}
+    assert ("word77", "word77", 0) in got and ("wrd9", "word9", 1) in got and ("word77", "word1", 2) in got
+    assert fuzzy.symspell_lookup(fuzzy.build_symspell(terms, 2), spark.createDataFrame([], "word string"), 2, 2).count() == 0

@@ -31,11 +31,17 @@ def build_symspell(terms: DataFrame, max_distance: int = 2) -> DataFrame:
 
 
 def symspell_lookup(dictionary: DataFrame, wanted: DataFrame, max_distance: int, built: int) -> DataFrame:
-    """(word, term, distance) for all words of a column `word`: an equal deletion, then a check of the distance."""
+    """(word, term, distance) for all words of a column `word`: an equal deletion, then a check of the distance.
+
+    The words asked for are what is broadcast, never the dictionary, which is many times the vocabulary; terms whose length
+    is further from all of them than the distance have no deletions made.
+    """
     if max_distance < 0 or max_distance > built:
         raise ValueError("the distance must lie between 0 and the one the dictionary was built with")
     asked = wanted.select("word", F.explode(deletions(F.col("word"), max_distance)).alias("deletion"))
-    pairs = asked.join(dictionary, "deletion").select("word", "term").distinct()
+    span = wanted.agg(F.coalesce(F.min(F.length("word")), F.lit(0)).alias("least"), F.coalesce(F.max(F.length("word")), F.lit(0)).alias("most")).first()
+    own = dictionary.where(F.length("term").between(span["least"] - max_distance, span["most"] + max_distance))
+    pairs = own.join(F.broadcast(asked), "deletion").select("word", "term").distinct()
     return pairs.withColumn("distance", F.levenshtein("word", "term", max_distance)).where("distance >= 0")
 
 
