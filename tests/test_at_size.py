@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.operators import fuzzy, index, retrieve
+from textloom.operators import fuzzy, index, learned, retrieve
 from textloom.sources import storage
 
 
@@ -62,3 +63,47 @@ def test_dictionary_is_not_broadcast(spark):
     got = {(r["word"], r["term"], r["distance"]) for r in found.collect()}
     assert ("word77", "word77", 0) in got and ("wrd9", "word9", 1) in got and ("word77", "word1", 2) in got
     assert fuzzy.symspell_lookup(fuzzy.build_symspell(terms, 2), spark.createDataFrame([], "word string"), 2, 2).count() == 0
+
+
+def corpus(spark, n=60):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(12))) for _ in range(n)]
+    built = index.build_index(spark.createDataFrame([(i, f"u{i:03d}", "", t) for i, t in enumerate(texts)], "doc_id long, url string, title string, text string"))
+    log = [(q, p, t) for q, words in enumerate(["a b", "c", "a a j", "zz a", "zz"]) for p, t in enumerate(words.split())]
+    return texts, built, spark.createDataFrame(log, "query_id long, qpos int, term string"), log
+
+
+def test_only_postings_travel(spark):
+    """Pairs of a query and a document, of which there are many times the input, were joined and grouped by exchanges."""
+    texts, built, log, rows = corpus(spark)
+    asked = spark.createDataFrame([(q,) for q in [0, 1, 2, 3, 4, 9]], "query_id long")
+    dense = learned.features(built, log, asked=asked)
+    assert "hashpartitioning(query_id" not in plan_of(dense)
+    got = {(r["query_id"], r["doc_id"]): r for r in dense.collect()}
+    assert set(got) == {(q, d) for q in [0, 1, 2, 3, 4, 9] for d in range(len(texts))}
+    named = learned.features(built, log, spark.createDataFrame(list(got), "query_id long, doc_id long"))
+    assert {(r["query_id"], r["doc_id"]): r for r in named.collect()} == got
+    for (q, d), r in got.items():
+        tokens = texts[d].split()
+        words = [t for own, _, t in rows if own == q]
+        assert r["freq_sum"] == sum(tokens.count(w) for w in words) and r["matched_terms"] == sum(w in tokens for w in words) and r["doc_length"] == len(tokens)
+    found = retrieve.find_all(built, log, ["frequency", "bm25"], 5)
+    assert "hashpartitioning(query_id" not in plan_of(found).replace("hashpartitioning(ranker", "")
+    for q in range(5):
+        words = {t for own, _, t in rows if own == q}
+        whole = sorted((-got[q, d]["freq_sum"], d) for d, t in enumerate(texts) if words <= set(t.split()))[:5]
+        assert [(r["score"], r["doc_id"]) for r in found.where(f"query_id = {q} AND ranker = 'frequency'").orderBy("rank").collect()] == [(-s, d) for s, d in whole]
+
+
+def test_pieces_of_documents():
+    """Documents are whole in a piece, wherever batches are cut."""
+    ids = [5, 5, 5, 6, 7, 7, None, None, 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["doc_id"])
+    for cut in range(10):
+        for most in (1, 2, 9):
+            pieces = list(retrieve.by_document(iter([batch.slice(0, cut), batch.slice(cut)]), most))
+            assert [x for p, _ in pieces for x in p["doc_id"].to_pylist()] == ids
+            for p, doc in pieces:
+                own = p["doc_id"].to_pylist()
+                assert doc[-1] + 1 == len(set(own)) <= most and np.array_equal(doc, np.unique(doc, return_inverse=True)[1])
+            assert sum(len(set(p["doc_id"].to_pylist())) for p, _ in pieces) == 5
