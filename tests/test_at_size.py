@@ -107,3 +107,18 @@ def test_pieces_of_documents():
                 own = p["doc_id"].to_pylist()
                 assert doc[-1] + 1 == len(set(own)) <= most and np.array_equal(doc, np.unique(doc, return_inverse=True)[1])
             assert sum(len(set(p["doc_id"].to_pylist())) for p, _ in pieces) == 5
+
+
+def test_norms_of_frequent_and_rare_words(spark, monkeypatch):
+    """All postings were joined to the vocabulary by an exchange of them."""
+    texts, built, _, _ = corpus(spark)
+    monkeypatch.setattr(retrieve, "FREQUENT", 10)
+    df = {t: sum(t in x.split() for x in texts) for t in "abcdefghij"}
+    least = -(-sum(df.values()) // 10)
+    assert {v >= least for v in df.values()} == {True, False}
+    own = retrieve.norms(built)
+    assert "LeftAnti" in plan_of(own)
+    got = {r["doc_id"]: r["norm"] for r in own.collect()}
+    weight = lambda words, t: (1 + np.log(words.count(t))) * (np.log(61 / (1 + df[t])) + 1)
+    want = {d: np.sqrt(sum(weight(x.split(), t) ** 2 for t in set(x.split()))) for d, x in enumerate(texts) if x}
+    assert set(got) == set(want) and all(abs(got[d] - want[d]) < 1e-9 for d in want)

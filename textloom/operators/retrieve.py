@@ -122,6 +122,8 @@ def hits(index: Index, log: Log, *columns: Column | str) -> DataFrame:
     return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
+#: Words whose counts are broadcast for `norms`, at most: those that have a FREQUENT-th of all postings or more each.
+FREQUENT = 100_000
 #: Pairs of a query and a document that a worker adds up at once, about.
 CELLS = 1 << 20
 
@@ -209,11 +211,15 @@ def find_all(index: Index, queries: DataFrame, rankers: list[str], top_k: int =
 def norms(index: Index) -> DataFrame:
     """(doc_id, norm) of documents as vectors of damped counts times smoothed rarities; store it beside an index that is asked often.
 
-    A word that all documents have is a hot key of the join, which adaptive execution splits; it moves counts only.
+    Frequent words, FREQUENT at most, which have most postings, are broadcast, so their postings are added up where they lie; only
+    those of other words are joined by an exchange.
     """
-    facts = index.facts.select("num_docs")
-    rows = index.postings.select("term", "doc_id", "tf").join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(facts))
-    return rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(_weight(F.col("tf"), F.col("df"), F.col("num_docs")), F.lit(2)))).alias("norm"))
+    facts, terms = index.facts.select("num_docs"), index.terms.select("term", "df")
+    least = (terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] + FREQUENT - 1) // FREQUENT
+    known, rows = F.broadcast(terms.where(F.col("df") >= least)), index.postings.select("term", "doc_id", "tf")
+    each = rows.join(known, "term").unionByName(rows.join(known.select("term"), "term", "left_anti").join(terms.where(F.col("df") < least), "term"))
+    squares = each.crossJoin(F.broadcast(facts)).select("doc_id", F.pow(_weight(F.col("tf"), F.col("df"), F.col("num_docs")), F.lit(2)).alias("square"))
+    return squares.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("norm"))
 
 
 def _weight(tf: Column, df: Column, docs: Column) -> Column:
